@@ -16,7 +16,22 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm import mixing
+
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
+def op8_direct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm import direct_codes
+
+    docs = table(spark, sf_dir, "documents")
+    return direct_codes.digest(direct_codes.write(docs, direct_codes.new_folder(spark)))
+
+
 QUERIES = {
+    "op4_source_mix": op4_source_mix,
+    "op8_direct_codes": op8_direct_codes,
     "op7_quality_rules": op7_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
