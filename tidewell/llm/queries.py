@@ -29,7 +29,14 @@ def op8_direct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return direct_codes.digest(direct_codes.write(docs, direct_codes.new_folder(spark)))
 
 
+def op2_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm import merge_dropout
+
+    return merge_dropout.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_merge_dropout": op2_merge_dropout,
     "op4_source_mix": op4_source_mix,
     "op8_direct_codes": op8_direct_codes,
     "op7_quality_rules": op7_quality_rules,
