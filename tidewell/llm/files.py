@@ -21,6 +21,6 @@ def put(uri: str, write) -> None:
     store, path = resolve(uri)
     store.create_dir(path.rpartition("/")[0], recursive=True)
     private = f"{path}.{uuid.uuid4().hex}"
-    with store.open_output_stream(private) as out:
+    with store.open_output_stream(private, compression=None) as out:
         write(out)
     store.move(private, path)

@@ -35,7 +35,21 @@ def op2_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_dropout.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm import warc
+
+    return warc.digest(table(spark, sf_dir, "pages"))
+
+
+def op5_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm import transport_stream
+
+    return transport_stream.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_warc": op3_warc,
+    "op5_transport_stream": op5_transport_stream,
     "op2_merge_dropout": op2_merge_dropout,
     "op4_source_mix": op4_source_mix,
     "op8_direct_codes": op8_direct_codes,
