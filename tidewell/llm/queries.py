@@ -47,7 +47,21 @@ def op5_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_stream.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm import toxicity
+
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm import secrets
+
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op6_toxicity": op6_toxicity,
+    "op10_secrets": op10_secrets,
     "op3_warc": op3_warc,
     "op5_transport_stream": op5_transport_stream,
     "op2_merge_dropout": op2_merge_dropout,
