@@ -16,6 +16,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm import chosen_path
+
+    return chosen_path.link(table(spark, sf_dir, "documents"), width=2)
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewell.llm import mixing
 
@@ -60,6 +66,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op6_toxicity": op6_toxicity,
     "op10_secrets": op10_secrets,
     "op3_warc": op3_warc,
