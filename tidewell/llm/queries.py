@@ -59,6 +59,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm import fuzzy_lines
+
+    return fuzzy_lines.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewell.llm import secrets
 
@@ -66,6 +72,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op9_fuzzy_lines": op9_fuzzy_lines,
     "op1_near_dedup": op1_near_dedup,
     "op6_toxicity": op6_toxicity,
     "op10_secrets": op10_secrets,
