@@ -31,7 +31,7 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 DROPOUT, VARIANTS, SEED = 0.1, 4, 20
 #: Words that an encoder remembers in each of two generations.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 LONG_WORD = 100
 NEVER = np.int64(2**31 - 1)
 _PLACES = 1 << 12
@@ -62,10 +62,12 @@ class Pieces:
             self.bytes[i] = text[i].replace(SPACE, " ").encode()
         for b, i in enumerate(self.byte_ids):
             self.bytes[i] = bytes([b])
-        self.char_id = np.full(0x110000, -1, np.int64)
+        self.char_id = np.full(0x110000, -1, np.int32)
         for p, i in ids.items():
             if len(p) == 1:
                 self.char_id[ord(p)] = i
+        # Words keep their spaces; a space is looked up as the mark that pieces use for it.
+        self.char_id[ord(" ")] = self.char_id[ord(SPACE)]
         rank = {i: k for k, i in enumerate(sorted(plain, key=lambda i: (-sp.get_score(i), i)))}
         found = {}
         for p, i in ids.items():
@@ -147,7 +149,7 @@ class Encoder:
         first = np.cumsum(lens) - lens
         start = np.arange(len(points)) - first[own]
         size = np.ones(len(points), np.int64)
-        sym = p.char_id[points]
+        sym = p.char_id[points].astype(np.int64)
         sym = np.where(sym < 0, -1 - points, sym)
         key = keys[short]
 
@@ -209,9 +211,10 @@ class Encoder:
     # Texts -----------------------------------------------------------------------------------------------------------
     @staticmethod
     def words(line: str) -> list[str]:
-        if "  " not in line:
-            return line.replace(" ", " " + SPACE).split(" ") if line[:1] != " " else line.replace(" ", " " + SPACE).split(" ")[1:]
-        return [w.replace(" ", SPACE) for w in re.findall(r" *[^ ]+| +", line)]
+        if "  " in line:
+            return re.findall(r" *[^ ]+| +", line)
+        first, *rest = line.split(" ")
+        return ([first] if first else []) + [" " + w for w in rest]
 
     def keyed(self, text: str, place: int) -> list[list[str] | bytes]:
         """Per line its words, each with its variant in front; breaks between them as bytes."""
@@ -245,8 +248,8 @@ class Encoder:
                 known[w] = older[w]
             else:
                 missing.append(w)
-        for i in range(0, len(missing), 50_000):
-            part = missing[i : i + 50_000]
+        for i in range(0, len(missing), 20_000):
+            part = missing[i : i + 20_000]
             keys = np.fromiter(map(self.word_key, part), np.uint64, len(part))
             known.update(zip(part, self.segment([w[1:] for w in part], keys), strict=True))
         get = known.__getitem__
@@ -311,19 +314,21 @@ def decode(pieces: DataFrame, model: str | None = None) -> DataFrame:
 
 
 def digest(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """doc_id, n_pieces, pieces_crc32, decoded_bytes and lossless per document, through ``encode`` and its inverse."""
-    key = (model or model_path(), 0.0, 1, 0)
-    pieces = encode(docs.select("doc_id", "text"), model)
+    """doc_id, n_pieces, pieces_crc32, decoded_bytes and lossless per document, encoded and decoded again in one pass."""
+    key = (model or model_path(), DROPOUT, VARIANTS, SEED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(*key)
         width = enc.p.kind.itemsize
-        for batch in batches:
-            ids = batch.column(2).to_pylist()
-            back = [enc.decode(x) for x in ids]
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column(0), "n_pieces": pa.array([len(x) // width for x in ids], pa.int64()), "pieces_crc32": pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-                "decoded_bytes": pa.array([len(x) for x in back], pa.int64()), "lossless": pa.array([b == (t or "").encode() for b, t in zip(back, batch.column(1).to_pylist(), strict=True)]),
-            })
-
-    return pieces.mapInArrow(run, "doc_id long, n_pieces long, pieces_crc32 long, decoded_bytes long, lossless boolean")
+        for whole in batches:
+            for i in range(0, whole.num_rows, 512):
+                batch = whole.slice(i, 512)
+                texts = [x or "" for x in batch.column(1).to_pylist()]
+                ids = enc(texts, [place_of(x, SEED) for x in batch.column(0).to_pylist()])
+                back = [enc.decode(x) for x in ids]
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": batch.column(0), "n_pieces": pa.array([len(x) // width for x in ids], pa.int64()), "pieces_crc32": pa.array([zlib.crc32(x) for x in ids], pa.int64()),
+                    "decoded_bytes": pa.array([len(x) for x in back], pa.int64()), "lossless": pa.array([b == t.encode() for b, t in zip(back, texts, strict=True)]),
+                })
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_pieces long, pieces_crc32 long, decoded_bytes long, lossless boolean")
