@@ -13,7 +13,7 @@ of the rows is spread over many tasks. The number of cells follows the number of
 (seed, doc_id), so reruns agree. Only DataFrame functions run.
 
 A null text has size 0, null source is a source, an empty table gives an empty result; rows with equal doc_id are separate rows,
-and columns of the input that share a name with an added one are replaced.
+and other columns pass through ``mixed_rows`` whatever their names.
 """
 
 from __future__ import annotations
@@ -106,13 +106,14 @@ def mixed_rows(docs: DataFrame, seed: int = 0, **options) -> DataFrame:
     Copies are looked up by doc_id; where several rows share one, each row takes the draws of its own place among them.
     """
     columns = docs.columns
-    number = lambda df: df.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "source").orderBy("size")))
-    draws = number(plan(docs, word_sizes(), seed, **options)).where("copies > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("_nth").alias("_n"), "draws")
-    rows = number(docs.withColumn("size", word_sizes())).drop(*({"size"} - set(columns)))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "source").orderBy("size"))
+    draws = plan(docs, word_sizes(), seed, **options).withColumn("_n", nth).where("copies > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), "_n", "draws")
+    # The row is carried whole, so that its columns cannot clash with those of the plan.
+    rows = docs.select("doc_id", "source", word_sizes().alias("size"), F.struct(*columns).alias("_row")).withColumn("_nth", nth)
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_nth") == F.col("_n"))
-    out = rows.join(draws, same).select(*columns, F.explode("draws").alias("_draw"))
-    order = _hash(seed, "shuffle", F.col("doc_id"), F.col("_draw")["copy"])
-    return out.repartition("_draw.shard").sortWithinPartitions("_draw.shard", order).select(*columns)
+    out = rows.join(draws, same).select("_row", F.explode("draws").alias("_draw"))
+    order = _hash(seed, "shuffle", F.col("_row.doc_id"), F.col("_draw.copy"))
+    return out.repartition("_draw.shard").sortWithinPartitions("_draw.shard", order).select("_row.*")
 
 
 def digest(docs: DataFrame, seed: int = 0) -> DataFrame:

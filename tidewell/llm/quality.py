@@ -7,7 +7,7 @@ quantile is exact to ``2 %``. Small groups borrow the merged sketch of their lan
 out of bounds beyond ``Q3 + reach * max(Q3 - Q1, spread)`` of its group; the filter joins documents with these bounds.
 
 Only DataFrame functions run. Null text counts as no words, null lang and null source are groups of their own, and an empty
-table gives an empty result. Extra columns pass through ``apply_rules``; columns that it adds replace ones of the same name.
+table gives an empty result. Extra columns pass through ``apply_rules`` whatever their names.
 Rows are never merged, so repeated rows stay repeated.
 """
 
@@ -148,8 +148,8 @@ def measure(docs: DataFrame) -> DataFrame:
 
 def apply_rules(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that the rules reject; texts are read twice and never shuffled."""
-    columns = docs.columns
-    return judged(with_features(docs), measure(docs)).where("kept").select(*columns)
+    rows = docs.select("text", "lang", "source", F.struct(*docs.columns).alias("_row"))
+    return judged(with_features(rows), measure(docs)).where("kept").select("_row.*")
 
 
 def judge(docs: DataFrame) -> DataFrame:
