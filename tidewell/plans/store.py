@@ -91,7 +91,7 @@ class Store:
 
     def _live(self, tenant: str, what: str) -> list[tuple[str, int]]:
         found = self.manifests(tenant)
-        gone = {x for m in found for x in m.get("replaces", [])}
+        gone = {x for m in found for x in m.get(f"old_{what}", [])}
         return [(m[what], m["n"]) for m in found if m.get(what) and m[what] not in gone]
 
     def _publish(self, tenant: str, manifest: dict, after: int) -> int | None:
@@ -145,7 +145,7 @@ class Store:
     def _rewrite(self, tenant: str, kind: str, rows: DataFrame, replaced: list[str], at: int) -> bool:
         ident = uuid.uuid4().hex
         rows.write.parquet(f"{self.root}/{'data' if kind == 'data' else 'ledger'}/{ident}")
-        return self._publish(tenant, {kind: ident, "replaces": replaced}, at) is not None
+        return self._publish(tenant, {kind: ident, f"old_{kind}": replaced}, at) is not None
 
     def compact(self, tenant: str, keep_after: datetime | None = None) -> bool:
         """Merge all deltas into one; rows keep their newest revision. Windows that ended before ``keep_after`` are left out."""
