@@ -56,8 +56,7 @@ def brute_docs(rows, width):
     return roots(max(r[0] for r in rows if r[0] is not None) + 1, links)
 
 
-@pytest.mark.parametrize("options", [{}, {"leaf": 4, "most": 5}, {"leaf": 3, "most": 2}])
-@pytest.mark.parametrize("width", [2, 5])
+@pytest.mark.parametrize(("width", "options"), [(2, {}), (5, {"leaf": 4, "most": 4}), (2, {"leaf": 3, "most": 2})])
 def test_link_equals_brute_force(docs, rows, width, options, monkeypatch):
     if options:
         monkeypatch.setattr(chosen_path, "MOST_IN_TASK", 8)

@@ -82,7 +82,7 @@ def test_mix(docs, rows, none):
     for r in got:
         s = source[r.doc_id]
         assert r.source_size == sizes[s] and r.target == pytest.approx(want[s]) and r.taken <= 2 * r.size and r.taken == r.copies * r.size
-        assert len(r.shards) == r.copies and all(0 <= x < 2**mixing.SHARD_LEVELS for x in r.shards)
+        assert len(r.shards) == r.copies and all(0 <= x < 2**mixing.LEAST_LEVELS for x in r.shards)
         taken[s] += r.taken
         most[s] = max(most[s], r.size)
     assert all(abs(taken[s] - want[s]) <= most[s] / 2 + 1 for s in sizes)

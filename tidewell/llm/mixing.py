@@ -25,8 +25,9 @@ from tidewell.llm.scratch import keep
 from tidewell.llm.words import word_count_of
 
 WEIGHTS = (5, 2, 1)
-SHARD_LEVELS = 5
-BLOCKS = 4096
+#: Shards follow the number of rows, 2^3 to 2^14 of them; blocks are 16 per shard, 4,096 at least.
+ROWS_PER_SHARD, LEAST_LEVELS, MOST_LEVELS = 8192, 3, 14
+BLOCKS, BLOCKS_PER_SHARD = 4096, 16
 ROWS_PER_CELL = 2048
 MOST_CELLS = 4096
 
@@ -57,8 +58,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = 1.5, cap: float =
     return rows.select("source", "source_size", F.least(F.col("most"), F.coalesce(F.col("level") * F.col("w"), F.col("most"))).alias("target"))
 
 
-def block_shards(goals: DataFrame, seed: int, levels: int = SHARD_LEVELS, blocks: int = BLOCKS) -> DataFrame:
-    """(source, shards): the shard of each block of a source. About ``blocks`` rows in all, whatever the corpus."""
+def block_shards(goals: DataFrame, seed: int, levels: int = LEAST_LEVELS, blocks: int = BLOCKS) -> DataFrame:
+    """(source, shards): the shard of each block of a source. About ``blocks`` rows in all, 262,144 at most."""
     width = F.greatest(F.sum("target").over(Window.partitionBy()) / blocks, F.lit(1.0))
     quota = goals.select("source", "target", width.alias("width")).withColumn("quota", F.ceil(F.col("target") / F.col("width")))
     node = quota.select("source", "width", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("quota"), F.lit(1)).cast("long"))).alias("block"))
@@ -75,9 +76,12 @@ def block_shards(goals: DataFrame, seed: int, levels: int = SHARD_LEVELS, blocks
 def plan(docs: DataFrame, size: Column, seed: int = 0, weights=WEIGHTS, budget: float = 1.5, cap: float = 2.0) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, and the block and shard of each copy."""
     sizes = keep(docs.select("doc_id", "source", size.alias("size")), "mix-sizes")
-    cells = min(MOST_CELLS, max(16, 2 ** (sizes.count() // ROWS_PER_CELL).bit_length()))
+    n = sizes.count()
+    cells = min(MOST_CELLS, max(16, 2 ** (n // ROWS_PER_CELL).bit_length()))
+    levels = min(MOST_LEVELS, max(LEAST_LEVELS, (n // ROWS_PER_SHARD).bit_length()))
+    blocks = max(BLOCKS, BLOCKS_PER_SHARD << levels)
     goals = targets(sizes, weights, budget, cap)
-    goals = keep(goals.join(block_shards(goals, seed).withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s"), "mix-goals")
+    goals = keep(goals.join(block_shards(goals, seed, levels, blocks).withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s"), "mix-goals")
     rows = sizes.withColumns({"key": _hash(seed, "line", F.col("doc_id")), "cell": F.pmod(_hash(seed, "cell", F.col("doc_id")), F.lit(cells))})
     totals = rows.groupBy("source", "cell").agg(F.sum("size").alias("words"))
     starts = totals.select("source", "cell", (F.sum("words").over(Window.partitionBy("source").orderBy("cell")) - F.col("words")).alias("cell_start"))
@@ -106,12 +110,12 @@ def mixed_rows(docs: DataFrame, seed: int = 0, **options) -> DataFrame:
     Copies are looked up by doc_id; where several rows share one, each row takes the draws of its own place among them.
     """
     columns = docs.columns
-    nth = F.row_number().over(Window.partitionBy("doc_id", "source").orderBy("size"))
-    draws = plan(docs, word_sizes(), seed, **options).withColumn("_n", nth).where("copies > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), "_n", "draws")
-    # The row is carried whole, so that its columns cannot clash with those of the plan.
-    rows = docs.select("doc_id", "source", word_sizes().alias("size"), F.struct(*columns).alias("_row")).withColumn("_nth", nth)
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_nth") == F.col("_n"))
-    out = rows.join(draws, same).select("_row", F.explode("draws").alias("_draw"))
+    key, nth = _hash(seed, "row", F.col("doc_id"), F.col("source")), F.row_number().over(Window.partitionBy("_k").orderBy("doc_id", "source", "size"))
+    draws = plan(docs, word_sizes(), seed, **options).withColumn("_k", key).withColumn("_n", nth).where("copies > 0").select(F.col("_k").alias("_d"), "_n", "draws")
+    # The row is carried whole, so that its columns cannot clash with those of the plan. Both sides are dealt by one key that is
+    # never null, so that the window and the join share a shuffle; the place among equal keys is no join key of its own.
+    rows = docs.select(key.alias("_k"), "doc_id", "source", word_sizes().alias("size"), F.struct(*columns).alias("_row")).withColumn("_nth", nth)
+    out = rows.join(draws, (F.col("_k") == F.col("_d")) & (F.col("_nth") - F.col("_n") == 0)).select("_row", F.explode("draws").alias("_draw"))
     order = _hash(seed, "shuffle", F.col("_row.doc_id"), F.col("_draw.copy"))
     return out.repartition("_draw.shard").sortWithinPartitions("_draw.shard", order).select("_row.*")
 
