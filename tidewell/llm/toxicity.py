@@ -22,11 +22,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, KEPT, RANK, EPOCHS, BATCH = 20_000, 6_000, 8, 12, 256
+SAMPLE, KEPT, RANK, EPOCHS, BATCH = 12_000, 6_000, 8, 12, 256
+#: Few rows are gone through more often.
+LEAST_STEPS, MOST_EPOCHS = 900, 60
 TERM_BITS, PREFIXES = 20, (4, 5)
 THRESHOLD = 0.3
 LEAST_ROWS = 6
@@ -92,33 +95,42 @@ def _raw(flat: np.ndarray, lens: np.ndarray, w: np.ndarray, v: np.ndarray):
     return scale * _segments(w[flat], lens) + scale**2 * 0.5 * ((s**2).sum(1) - q), s, scale
 
 
-def fit(rows: list[list[int]], y: np.ndarray) -> Model:
-    """AdaGrad on the log loss, with a small penalty; the same rows in the same order give the same model."""
-    n, pos = len(rows), float(y.sum())
+def fit(flat: np.ndarray, lens: np.ndarray, y: np.ndarray) -> Model:
+    """AdaGrad on the log loss, with a small penalty; the same rows in the same order give the same model.
+
+    ``flat`` has the terms of all rows one after the other, ``lens`` their numbers.
+    """
+    n, pos = len(lens), float(y.sum())
     if not n:
         return Model({}, -30.0, np.zeros(0), np.zeros((0, RANK)))
-    lens = np.array([len(r) for r in rows])
-    flat = np.fromiter((i for r in rows for i in r), np.int64, int(lens.sum()))
-    size = 1 << TERM_BITS
-    df = np.bincount(flat, minlength=size).astype(float)
-    dp = np.bincount(flat, weights=np.repeat(y, lens), minlength=size)
+    size, part = 1 << TERM_BITS, 1 << 20
+    df, dp = np.zeros(size), np.zeros(size)
+    at_row = np.repeat(np.arange(n, dtype=np.int32), lens)
+    for i in range(0, len(flat), part):
+        some = flat[i : i + part].astype(np.int64)
+        df += np.bincount(some, minlength=size)
+        dp += np.bincount(some, weights=y[at_row[i : i + part]], minlength=size)
     rate = pos / n
     z = np.where(df >= LEAST_ROWS, np.abs(dp - df * rate) / np.sqrt(df * rate * (1 - rate) + 1e-9), -1)
     chosen = np.argsort(-z, kind="stable")[:KEPT]
     chosen = chosen[z[chosen] > 1.0]
     known = {int(t): i for i, t in enumerate(chosen)}
-    rows = [[known[i] for i in r if i in known] for r in rows]
+    place = np.full(size, -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
+    flat = place[flat]
+    lens = np.bincount(at_row[flat >= 0], minlength=n)
+    rows = np.split(flat[flat >= 0].astype(np.int64), np.cumsum(lens)[:-1])
     rng = np.random.default_rng(SEED)
     f = max(1, len(known))
     w, v, bias = np.zeros(f), rng.normal(0, 0.02, (f, RANK)), math.log((pos + 1) / (n - pos + 1))
     gw, gv, gb = np.full(f, 1e-3), np.full((f, RANK), 1e-3), 1e-3
-    for epoch in range(EPOCHS):
+    for epoch in range(max(EPOCHS, min(MOST_EPOCHS, LEAST_STEPS * BATCH // n))):
         order = rng.permutation(n)
         rate_w, rate_v = 0.3 / (1 + epoch / 4), 0.05 / (1 + epoch / 4)
         for i in range(0, n, BATCH):
             some = order[i : i + BATCH]
             lens = np.array([len(rows[j]) for j in some])
-            flat = np.array([t for j in some for t in rows[j]], np.int64)
+            flat = np.concatenate([rows[j] for j in some])
             raw, s, scale = _raw(flat, lens, w, v)
             err = 1 / (1 + np.exp(-np.clip(raw + bias, -30, 30))) - y[some]
             g = err.mean()
@@ -157,9 +169,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if n > sample:
         usable = usable.where(F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id")), F.lit(1_000_000)) < int(1e6 * sample / n))
     rows = docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id").select("doc_id", "toxic", "text")
-    found = _term_rows(rows, 2, "doc_id long, toxic int, terms binary", [0, 1]).collect()
-    found = sorted(found, key=lambda r: (r.doc_id, bytes(r.terms)))
-    return fit([np.frombuffer(r.terms, "<u4").tolist() for r in found], np.array([float(r.toxic > 0) for r in found]))
+    found = _term_rows(rows, 2, "doc_id long, toxic int, terms binary", [0, 1]).toArrow()
+    found = found.sort_by([("doc_id", "ascending"), ("terms", "ascending")])
+    lens = pc.binary_length(found.column("terms")).to_numpy().astype(np.int64) // 4
+    toxic = found.column("toxic").to_numpy().astype(float).clip(0, 1)
+    flat = np.empty(int(lens.sum()), "<u4")
+    at = 0
+    for chunk in found.column("terms").chunks:
+        for terms in chunk:
+            part = np.frombuffer(terms.as_buffer() or b"", "<u4")
+            flat[at : at + len(part)] = part
+            at += len(part)
+    del found
+    return fit(flat, lens, toxic)
 
 
 def score(docs: DataFrame, model: Model, per_batch: int = 1000) -> DataFrame:
