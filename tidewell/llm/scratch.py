@@ -27,6 +27,12 @@ def base_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 1,000 rows and 8 MB, whatever the length of texts: workers hold a few of them at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def new_dir(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing has used yet."""
     return f"{base_dir(spark)}/tidewell-{label}-{uuid.uuid4().hex[:12]}"
