@@ -77,6 +77,9 @@ def test_slots_and_quantiles(spark):
     for q in (0.5, 0.9, 0.95, 0.99, 0.999, 1.0, 0.0, -1.0, 2.0):
         got, exact = df.select(H.quantile(F.col("b"), q)).first()[0], sorted(data)[max(0, min(len(data), int(-(-min(max(q, 0), 1) * len(data) // 1))) - 1)]
         assert got == H.quantile_of(a.slots, q) and exact <= got * (1 + 1e-9) and got <= exact * 1.16
+    sparse = spark.createDataFrame([([(i, n) for i, n in enumerate(a.slots) if n],), ([],)], "e array<struct<slot: int, count: bigint>>")
+    for q in (0.0, 0.5, 0.9, 0.99, 1.0):
+        assert [r[0] for r in sparse.select(H.quantile_sparse(F.col("e"), q)).collect()] == [H.quantile_of(a.slots, q), None]
     bad = spark.createDataFrame([(None,), ([1, 2, 3],), ([0] * 150,), ([0] * 153,)], "b array<bigint>")
     assert [r[0] for r in bad.select(H.quantile(F.col("b"), 0.5)).collect()] == [None] * 4
 

@@ -60,6 +60,12 @@ def scalars(points: DataFrame, seconds: int = 60) -> DataFrame:
     return out.withColumns({"window_end": end_of(F.col("window_start"), seconds), "last": F.col("latest")["value"], "last_event_at": F.col("latest")["timestamp"]}).drop("latest")
 
 
+def percentile(points: DataFrame, seconds: int, q: float) -> DataFrame:
+    """(series, window, count, v): a quantile per histogram rollup, from its occupied slots; no vector is built."""
+    slots = sparse_slots(points, seconds).groupBy(*KEY).agg(F.sum("n").alias("count"), F.sort_array(F.collect_list(F.struct("slot", F.col("n").alias("count")))).alias("entries"))
+    return slots.select(*KEY, "count", H.quantile_sparse(F.col("entries"), q).alias("v"))
+
+
 def merge(*parts: DataFrame) -> DataFrame:
     """Rollups of several parts added up; a revision column, where present, keeps its maximum.
 

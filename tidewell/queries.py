@@ -39,9 +39,10 @@ def rollup_hourly(spark, sf):
 
 def _agg(name: str):
     def run(spark, sf):
-        build = rollup.build if name in H.QUANTILES else rollup.scalars
-        r = build(_points(spark, sf), 24 * HOUR)
-        return r.select(*_SERIES, rollup.statistic(name).alias("v")).where("v IS NOT NULL").withColumn("v", F.round("v", 6))
+        if name in H.QUANTILES:
+            r = rollup.percentile(_points(spark, sf), 24 * HOUR, H.QUANTILES[name])
+            return r.select(*_SERIES, F.round("v", 6).alias("v"))
+        return rollup.scalars(_points(spark, sf), 24 * HOUR).select(*_SERIES, F.round(rollup.statistic(name), 6).alias("v"))
 
     return run
 
@@ -49,8 +50,8 @@ def _agg(name: str):
 def p95_by_metric(spark, sf):
     """Flagship: p95 per tenant, metric and day, over all label sets, from merged histograms."""
     rows = _points(spark, sf).where("kind = 'histogram'").withColumn("labels", F.create_map().cast("map<string,string>"))
-    r = rollup.build(rows, 24 * HOUR)
-    return r.select("tenant_id", "metric", "window_start", "count", F.round(H.quantile(F.col("buckets"), 0.95), 6).alias("p95")).orderBy("tenant_id", "metric", "window_start")
+    r = rollup.percentile(rows, 24 * HOUR, 0.95)
+    return r.select("tenant_id", "metric", "window_start", "count", F.round("v", 6).alias("p95")).orderBy("tenant_id", "metric", "window_start")
 
 
 def histogram_vector(spark, sf):
