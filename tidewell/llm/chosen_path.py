@@ -7,8 +7,9 @@ at the threshold survive as a branching process while others part quickly. Nodes
 exhaustively; larger ones branch on. ``TREES`` independent trees bring the recall at the threshold to ``1 - 0.06^4`` or better.
 
 Links are confirmed on the full sets, so no false link remains. Long chains of one tree (deep nodes) come first and link the large
-groups of copies; what is in one component already is never compared again, which keeps groups of any size linear. Nodes that
-stay large at the deepest level with several components are compared outsiders against members, in blocks (``cross_pairs``).
+groups of copies, then the roots of large nodes do; what is in one component already is never compared again, which keeps groups
+of any size linear. Large nodes with few outsiders are compared at once, outsiders against all; those that stay large with many
+components at the deepest level are compared outsiders against members in blocks (``cross_pairs``).
 
 Texts without words have the empty set and no links; a null text has no words. Fewer words than ``width`` form one shingle. Rows with
 null doc_id link with nothing, keep a null component and are kept. Rows with equal doc_id count as one node. An empty table
@@ -30,14 +31,14 @@ from tidewell.llm.scratch import drop, keep
 
 WIDTH, PERCENT = 5, 80
 COORDINATES, TREES, CHAINS, CHAIN_DEPTH = 64, 4, 2, 8
-START_DEPTH, MOST_DEPTH, LEAF = 2, 9, 48
+START_DEPTH, MOST_DEPTH, LEAF, MOST_IN_TASK = 2, 9, 48, 1024
 #: Ids up to which their table is sent to every executor (8 bytes each) instead of shuffling the texts.
 BROADCAST_IDS = 500_000
 _U = np.uint64
 _rng = np.random.default_rng(0xC0FFEE)
 _MUL = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64) * _U(2) + _U(1)
 _XOR = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64)
-_CACHE = 400_000
+_CACHE = 200_000
 
 
 def mix(x):
@@ -199,31 +200,56 @@ def _children(rows: DataFrame) -> DataFrame:
 
 
 def agree(percent: int) -> int:
-    """Least number of equal tokens for a comparison on full sets: five standard deviations below the threshold's mean."""
+    """Least number of equal tokens for a comparison on full sets: three standard deviations below the threshold's mean."""
     s = percent / 100
-    return max(1, int(COORDINATES * s - 5 * (COORDINATES * s * (1 - s)) ** 0.5))
+    return max(1, int(COORDINATES * s - 3 * (COORDINATES * s * (1 - s)) ** 0.5))
 
 
-def leaf_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """All pairs within each node that differ in component, fit in size, and agree in enough tokens. Nodes are at most LEAF large."""
+def leaf_pairs(rows: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs within each node that differ in component, fit in size, and agree in enough tokens; nodes fit in a task.
+
+    With ``best``, of the pairs between two components of a node only the one that agrees most: one link joins them, and
+    what this leaves apart is listed whole by a second call.
+    """
     least = agree(percent)
 
     def compare(key, ids, comp, n, t):
         lens = np.diff(np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key)))
         left = np.repeat(lens, lens) - (np.arange(len(key)) - np.repeat(np.cumsum(lens) - lens, lens)) - 1
-        out = []
+        found = [np.zeros((0, 6), np.int64)]
         for d in range(1, int(lens.max(initial=1))):
             i = np.flatnonzero(left >= d)
             j = i + d
             small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
             ok = (comp[i] != comp[j]) & (100 * small >= percent * large)
             i, j = i[ok], j[ok]
-            ok = (t[i] == t[j]).sum(1) >= least
-            out.append(np.stack([ids[i[ok]], ids[j[ok]]], 1))
-        return np.sort(np.concatenate(out), 1) if out else np.zeros((0, 2), np.int64)
+            same = (t[i] == t[j]).sum(1)
+            ok = same >= least
+            i, j, same = i[ok], j[ok], same[ok]
+            found.append(np.stack([key[i], np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j]), -same, np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1))
+        found = np.concatenate(found)
+        more = np.zeros(len(found), np.int64)
+        if best and len(found):
+            found = found[np.lexsort(found.T[::-1])]
+            first = np.flatnonzero(np.concatenate([[True], (found[1:, :3] != found[:-1, :3]).any(1)]))
+            more = (np.diff(np.append(first, len(found))) > 1).astype(np.int64)
+            found = found[first]
+        return np.column_stack([found[:, 4:], found[:, 0], more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, seen = None, set()
+
+        def listed(found):
+            """Pairs that this task has not given yet, and one row at least of each node that has more than its best pairs."""
+            new = []
+            for a, b, key, more in found.tolist():
+                if more or (a, b) not in seen:
+                    new.append((a, b, key, bool(more)))
+                    seen.add((a, b))
+            if len(seen) > _CACHE:
+                seen.clear()
+            return pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in new], pa.int64()), "b": pa.array([p[1] for p in new], pa.int64()), "key": pa.array([p[2] for p in new], pa.int64()), "more": pa.array([p[3] for p in new], pa.bool_())})
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -232,46 +258,89 @@ def leaf_pairs(rows: DataFrame, percent: int) -> DataFrame:
                 now = [np.concatenate([a, b]) for a, b in zip(held, now, strict=True)]
             cut = int(np.searchsorted(now[0], now[0][-1]))
             held = [x[cut:] for x in now]
-            found = compare(*[x[:cut] for x in now]) if cut else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
+            if cut:
+                yield listed(compare(*[x[:cut] for x in now]))
         if held is not None:
-            found = compare(*held)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
+            yield listed(compare(*held))
 
     dealt = rows.select("key", "id", "comp", "n", "tokens").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long, key long, more boolean")
+
+
+def placed(classes: DataFrame, comp: DataFrame) -> DataFrame:
+    """``classes`` with ``comp``, the component known so far."""
+    return classes.drop("comp").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
+
+
+def majors(big: DataFrame, leaf: int = LEAF) -> DataFrame:
+    """Per node of several components the largest one, whether few rows are outside it, and the blocks to deal its rows in."""
+    per = big.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    top = per.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    few = F.col("all") - F.col("top")["n"] <= 4 * leaf
+    return keep(top.select("key", F.col("top")["comp"].alias("major"), few.alias("few"), F.ceil(F.col("all") / MOST_IN_TASK).cast("int").alias("blocks")), "node-majors")
 
 
-def candidates(classes: DataFrame, trees: int = TREES, leaf: int = LEAF, start: int = START_DEPTH, most: int = MOST_DEPTH, percent: int = PERCENT) -> DataFrame:
-    """Candidate pairs (a, b) of classes (id, comp, n, tokens) in different components."""
-    rows, found, depth = _roots(classes, trees, start), None, start
+def in_blocks(big: DataFrame, top: DataFrame) -> DataFrame:
+    """Rows of nodes with few outsiders: the largest component dealt into blocks, the outsiders copied to each of them."""
+    rows = big.join(top.where("few").select("key", "major", "blocks"), "key")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    own = F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("block", F.explode(F.when(F.col("comp") == F.col("major"), own).otherwise(every)))
+    return rows.withColumn("key", F.when(F.col("blocks") > 1, F.xxhash64("key", "block")).otherwise(F.col("key"))).select(*big.columns)
+
+
+def search(classes: DataFrame, docs: DataFrame, width: int, percent: int = PERCENT, trees: int = TREES, leaf: int = LEAF, start: int = START_DEPTH, most: int = MOST_DEPTH) -> DataFrame:
+    """Confirmed links (a, b) between classes (id, n, tokens): enough of them to connect whatever is connected."""
+    found = links(deep_stars(classes, trees), docs, width, percent)
+    comp = components(found)
+    rows, depth, leaves, rest = _roots(keep(placed(classes, comp), "placed"), trees, start), start, [], []
     while True:
         sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         large = keep(sizes.where(F.col("c") > leaf).select("key", (F.col("lo") != F.col("hi")).alias("mixed")), "large-nodes")
-        pairs = leaf_pairs(rows.join(large, "key", "left_anti"), percent)
-        found = pairs if found is None else found.union(pairs)
-        mixed = large.where("mixed")
-        if mixed.isEmpty():
-            return found.distinct()
-        rows = rows.join(mixed.select("key"), "key", "left_semi")
+        leaves.append(rows.join(large, "key", "left_anti"))
+        big = keep(rows.join(large.where("mixed").select("key"), "key", "left_semi"), "mixed-nodes")
+        if big.isEmpty():
+            break
+        if depth == start:
+            # Whatever is alike to the root of its node's largest component joins it before anything else happens.
+            top = majors(big, leaf)
+            stars = big.join(top.select("key", "major"), "key").where("comp <> major").select(F.least("major", "id").alias("a"), F.greatest("major", "id").alias("b")).distinct()
+            found = keep(found.union(links(stars, docs, width, percent)), "links")
+            comp = components(found)
+            big = keep(placed(big, comp).select(*rows.columns), "mixed-nodes")
+        top = majors(big, leaf)
+        leaves.append(in_blocks(big, top))
+        hard = keep(big.join(top.where("NOT few").select("key"), "key", "left_semi"), "hard-nodes")
+        if hard.isEmpty():
+            break
         if depth >= most:
-            return found.union(cross_pairs(rows.select("key", "id", "comp"))).distinct()
-        rows, depth = keep(_children(rows), "nodes"), depth + 1
+            rest.append(cross_pairs(hard.select("key", "id", "comp")))
+            break
+        rows, depth = keep(_children(hard), "nodes"), depth + 1
+
+    def union(frames):
+        return frames[0] if len(frames) == 1 else frames[0].union(union(frames[1:]))
+
+    def compared(best):
+        return union([leaf_pairs(placed(x, comp).select("key", "id", "comp", "n", "tokens"), percent, best) for x in leaves])
+
+    first = keep(compared(True), "best-pairs")
+    open_ = keep(first.where("more").select("key").distinct(), "open-nodes")
+    found = keep(found.union(links(first.select("a", "b").distinct(), docs, width, percent)), "links")
+    comp = components(found)
+    # Nodes where components had several pairs and may still be apart are listed whole; what is joined by now is not.
+    leaves = [x.join(open_, "key", "left_semi") for x in leaves]
+    pairs = union([compared(False).select("a", "b"), *rest]).distinct()
+    return found.union(links(pairs, docs, width, percent))
 
 
 def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, **options) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
-    trees = options.get("trees", TREES)
     rows = keep(scan(docs, width), "shingled")
     named = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     # The group of a print has one value of tokens and n_shingles, so max takes it.
     classes = keep(named.groupBy("print").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"), F.max("tokens").alias("tokens")), "classes")
-    first = links(deep_stars(classes, trees), docs, width, percent)
-    comp = components(first)
-    joined = classes.join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("comp"), "n", "tokens")
-    second = links(candidates(keep(joined, "placed"), percent=percent, **options), docs, width, percent)
-    if not second.isEmpty():
-        comp = components(first.union(second))
+    comp = components(search(classes, docs, width, percent, **options))
     roots = classes.select("print", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").select("print", F.coalesce("root", "id").alias("root"))
     out = rows.select("doc_id", "n_shingles", "print").join(roots, "print", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("root")))
