@@ -10,7 +10,7 @@ partner), so a document with millions of partners is spread over many tasks, and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,10 +48,16 @@ def components(edges: DataFrame) -> DataFrame:
     return keep(out, "components")
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
+def stored(members: bytes) -> np.ndarray:
+    """A set kept as sorted distinct 64-bit values, little-endian."""
+    return np.frombuffer(members, "<u8")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int = 80, to_set: Callable[[bytes], np.ndarray] = stored) -> DataFrame:
     """The pairs (a, b) of distinct ids whose sets have ``100 * intersection >= percent * union``.
 
-    ``sets`` has (id, members): sorted distinct 64-bit values as little-endian bytes. Ids may have several sets; any may match.
+    ``sets`` has (id, members); ``to_set`` makes sorted distinct values of members, which are what travels: the values
+    themselves, or a text where that is shorter than its set. Ids may have several sets; any may match.
     """
     pairs = pairs.where("a <> b").select("a", "b")
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("salts"))
@@ -67,7 +73,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
             for a, salt, b, members in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if (a, salt) != at:
                     at, own = (a, salt), []
-                members = np.frombuffer(members, "<u8")
+                members = to_set(members)
                 if b is None:
                     own.append(members)
                 elif any(alike(x, members, percent) for x in own):

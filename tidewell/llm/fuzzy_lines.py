@@ -7,7 +7,8 @@ distributed union-find makes components. The first occurrence (smallest doc_id,
 
 Equal lines share a 64-bit hash and are one node. In a band all lines first meet the band's smallest; lines that this
 has joined need no further comparison, and whatever is still apart meets in bounded blocks (``cross_pairs``), so groups
-of any size cost in proportion to their size and no candidate is left out.
+of any size cost in proportion to their size. Such later candidates need minwise tokens that agree as far as three standard
+deviations below the threshold; the best pair of two components goes first, the others only if it does not join them.
 
 Lines without a word are never removed and never compared. Null text has no lines; rows with null doc_id come after all others;
 rows with equal doc_id are one document: equal lines at the same place stay or go alike. A document that loses all
@@ -22,9 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.llm import chosen_path
 from tidewell.llm.components import components, confirm, cross_pairs
 from tidewell.llm.scratch import keep
 from tidewell.llm.words import SEPARATORS
@@ -105,41 +107,56 @@ def band_rows(lines: DataFrame) -> DataFrame:
     return lines.select("h", "line").mapInArrow(run, "key long, id long")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, members) of the lines in ``ids``."""
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, members) of the lines in ``ids``: their texts, an eighth of the size of their sets."""
     if ids.count() <= BROADCAST_LINES:
         ids = F.broadcast(ids)
-    rows = lines_of(docs).select(F.col("h").alias("id"), "line").join(ids, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))
+    rows = lines_of(docs).select(F.col("h").alias("id"), "line").join(ids, "id", "left_semi")
+    return rows.groupBy("id").agg(F.min("line").cast("binary").alias("members"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "members": pa.array([np.unique(shingles(x)).tobytes() for x in batch.column(1).to_pylist()], pa.binary())})
 
-    return rows.mapInArrow(run, "id long, members binary")
+def line_set(line: bytes) -> np.ndarray:
+    return np.unique(shingles(line.decode()))
 
 
-def links(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    pairs = keep(pairs, "line-pairs")
-    ids = keep(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "line-ids")
-    return keep(confirm(pairs, keep(sets_of(docs, ids), "line-sets"), percent), "line-links")
+def signed(texts: DataFrame) -> DataFrame:
+    """(id, n, tokens) of the lines in ``texts``: set sizes and minwise tokens, to tell likely pairs before full sets meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [line_set(x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "n": pa.array([len(x) for x in sets], pa.int64()), "tokens": pa.array([chosen_path.minwise(x).tobytes() for x in sets], pa.binary())})
+
+    return texts.select("id", "members").mapInArrow(run, "id long, n long, tokens binary")
 
 
 def line_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, root) of the line hashes that are alike to another."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("key")
     rows = band_rows(lines_of(docs)).select("key", "id", F.min("id").over(w).alias("low"), F.max("id").over(w).alias("high"))
     shared = keep(rows.where("low <> high").select("key", "id", "low").distinct(), "line-bands")
-    first = links(shared.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct(), docs, percent)
-    comp = components(first)
-    placed = shared.select("key", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("comp"))
-    # Bands of two lines have been decided; so has every pair with the smallest line of a band.
-    stars = shared.select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    large = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2").select("key")
-    rest = cross_pairs(placed.join(large, "key", "left_semi")).join(stars, ["a", "b"], "left_anti")
-    second = links(rest, docs, percent)
-    return comp if second.isEmpty() else components(first.union(second))
+    texts = keep(texts_of(docs, keep(shared.select("id").distinct(), "line-ids")), "line-texts")
+
+    def links(pairs):
+        return keep(confirm(keep(pairs, "line-pairs"), texts, percent, line_set), "line-links")
+
+    found = links(shared.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct())
+    comp = components(found)
+    # Bands of two lines have been decided. In larger ones the components that are left meet, if their tokens agree.
+    large = shared.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 2").select("key")
+    placed = chosen_path.placed(shared.select("key", "id").join(large, "key", "left_semi"), comp)
+    majors = chosen_path.majors(keep(placed, "line-placed"))
+    mixed = keep(placed.join(majors.select("key"), "key", "left_semi").join(signed(texts), "id").select("key", "id", "comp", "n", "tokens"), "line-mixed")
+    leaves = chosen_path.in_blocks(mixed, majors)
+    first = keep(chosen_path.leaf_pairs(leaves, percent, True), "line-best")
+    found = keep(found.union(links(first.select("a", "b").distinct())), "line-links")
+    comp = components(found)
+    open_ = leaves.join(first.where("more").select("key").distinct(), "key", "left_semi")
+    rest = chosen_path.leaf_pairs(chosen_path.placed(open_, comp).select("key", "id", "comp", "n", "tokens"), percent, False).select("a", "b")
+    # Bands with many lines outside their largest component are compared in blocks, all of them.
+    hard = mixed.join(majors.where("NOT few").select("key"), "key", "left_semi").select("key", "id", "comp")
+    second = links(rest.union(cross_pairs(hard)).distinct())
+    return comp if second.isEmpty() else components(found.union(second))
 
 
 def removals(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -171,10 +188,9 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def digest(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per document with a line: doc_id, n_lines, n_kept, and the remaining lines as a list of their hashes in order, hashed."""
     marked, _ = removals(docs, percent)
-    per = marked.groupBy("doc").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.sum((~F.col("drop")).cast("long")).alias("n_kept"),
-        F.sort_array(F.collect_list(F.when(~F.col("drop"), F.struct("line_no", "h")))).alias("kept"),
-    )
+    per = marked.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("line_no", "h", "drop"))).alias("all"))
+    kept = F.filter("all", lambda x: ~x["drop"])
+    per = per.select("doc", F.size("all").cast("long").alias("n_lines"), F.size(kept).cast("long").alias("n_kept"), kept.alias("kept"))
     found = per.select(F.when(F.col("doc") != LAST, F.col("doc")).alias("_d"), "n_lines", "n_kept", F.xxhash64(F.transform("kept", lambda x: x["h"])).alias("kept_hash"), F.transform("kept", lambda x: x["line_no"]).alias("kept_lines"))
     zero = F.lit(0).cast("long")
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(found, F.col("doc_id").eqNullSafe(F.col("_d")), "left")
