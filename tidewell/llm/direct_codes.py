@@ -118,7 +118,7 @@ class Encoder:
     """Ids of texts as little-endian unsigned integers, exactly as the tokenizers library gives them for the whole text.
 
     A byte-level tokenizer cuts a text before each space that stands alone, so the pieces between such cuts are encoded once
-    and remembered. Texts where white space surrounds white space are encoded whole.
+    and remembered, letters and what follows them apart. Texts where white space surrounds white space are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -132,8 +132,23 @@ class Encoder:
         self.kind = np.dtype("<u2") if self.model.get_vocab_size() <= 65536 else np.dtype("<u4")
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        #: A word and what follows it; the tokenizer always cuts between letters and other characters.
+        self.core = re.compile(r" [A-Za-zÀ-ÖØ-öø-ſ]+(?=[\x00-@\[-`{-~]|$)").match
+        self.space = self.model.pre_tokenizer.pre_tokenize_str(" ")[0][0]
         self.unsafe = re.compile(r"\s \s").search
 
+    def learn(self, pieces: list[str]) -> None:
+        """Words of plain letters go straight to the model's merges; the rest through the whole tokenizer."""
+        tokenize, rest = self.model.model.tokenize, []
+        for x in pieces:
+            if x[0] == " " and len(x) > 1 and x.isascii() and x[1:].isalpha():
+                self.known[x] = np.array([t.id for t in tokenize(self.space + x[1:])], self.kind).tobytes()
+            else:
+                rest.append(x)
+        for i in range(0, len(rest), 50_000):
+            part = rest[i : i + 50_000]
+            self.known.update(zip(part, self.whole(part), strict=True))
+
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -142,19 +157,28 @@ class Encoder:
         for c in cut:
             if c:
                 c[1:] = [" " + x for x in c[1:]]
-        wanted = {x for c in cut if c for x in c}
         if len(self.known) > CACHE_ENTRIES:
             self.older, self.known = self.known, {}
-        known, older = self.known, self.older
-        missing = []
-        for x in wanted - known.keys():
-            if x in older:
-                known[x] = older[x]
+        known, recall, split, missing = self.known, self.older.get, [], set()
+        for x in set().union(*[c for c in cut if c]) - known.keys():
+            if ids := recall(x):
+                known[x] = ids
+            elif (m := self.core(x)) and m.end() < len(x):
+                split.append((x, m[0], x[m.end() :]))
             else:
-                missing.append(x)
-        for i in range(0, len(missing), 50_000):
-            part = missing[i : i + 50_000]
-            known.update(zip(part, self.whole(part), strict=True))
+                missing.add(x)
+        for _, core, tail in split:
+            for x in (core, tail):
+                if x not in known:
+                    if ids := recall(x):
+                        known[x] = ids
+                    else:
+                        missing.add(x)
+        missing.discard("")
+        known[""] = b""
+        self.learn(list(missing))
+        for x, core, tail in split:
+            known[x] = known[core] + known[tail]
         return [self.whole([t])[0] if c is None else b"".join(map(known.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
 
 
