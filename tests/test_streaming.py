@@ -1,4 +1,6 @@
+import os
 from datetime import UTC, datetime, timedelta
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -49,7 +51,10 @@ def test_stream_into_store(spark, tmp_path):
 def test_watermark_closes_and_drops(spark, tmp_path):
     src = f"{tmp_path}/in"
     for i, rows in enumerate([[(0, 1)], [(200, 5)], [(10, 8)], [(400, 3)]]):
+        before = set(Path(src).glob("*.parquet"))
         batch(spark, f"b{i}", rows).coalesce(1).write.mode("append").parquet(src)
+        for f in set(Path(src).glob("*.parquet")) - before:
+            os.utime(f, (1_700_000_000 + 10 * i,) * 2)  # files are taken by age
     stream = spark.readStream.schema(POINT).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(src)
     q = ingest.closed_windows(stream, 60, timedelta(seconds=30)).writeStream.format("memory").queryName("closed").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination()
