@@ -80,3 +80,24 @@ def test_op2(docs, rows, none):
     back = md.decode(pieces).select("text", "decoded").collect()
     assert all(r.decoded == (r.text or "") for r in back)
     assert md.digest(none).isEmpty() and md.encode(none).isEmpty() and md.decode(md.encode(none)).isEmpty()
+
+
+def test_every_occurrence_draws_for_itself():
+    e = md.Encoder(md.model_path(), 0.1)
+    none, n = md.Encoder(md.model_path(), 0.0), 1500
+    plain = none._bytes(none.agenda(" jumps", 0))
+    texts = ["jumps " * n, *mess(), "internationalization " * 300 + "straightforwardness" * 4 + " z"]
+    keys, real = {}, e._occurrences
+    e._occurrences = lambda words, k: [keys.setdefault((w, int(x)), b) for w, x, b in zip(words, k, real(words, k), strict=True)]
+    ids = e(texts, list(range(len(texts))))
+    assert all(e.decode(x) == t.encode() for x, t in zip(ids, texts, strict=True))
+    assert len(keys) > n and all(b == e._bytes(e.agenda(w, k)) for (w, k), b in keys.items() if w not in ("\n", md.SPACE))
+    # One word type: more segmentations than variants, and a rate of skips near its expectation, not a multiple of a quarter.
+    jumps = [b for (w, _), b in keys.items() if w == " jumps"]
+    offers = int(e.agendas.counts[e.agendas.number[" jumps"]])
+    changed = sum(b != plain for b in jumps) / len(jumps)
+    assert len(set(jumps)) > 4 and 0.02 < changed <= 1 - 0.9**offers + 0.03
+    e._occurrences, e.agendas = real, md.Agendas(e.line, e.mark)
+    assert e(texts[::-1], list(range(len(texts)))[::-1]) == ids[::-1]
+    e.seed = 6
+    assert e(texts, list(range(len(texts)))) != ids

@@ -1,10 +1,14 @@
 """SentencePiece BPE with seeded merge-dropout, and its lossless inverse.
 
 Encoding runs the merge agenda of a public SentencePiece BPE model: of all adjacent pairs whose join is a piece, the best-scored
-and leftmost merges first. A candidate merge is skipped when the keyed hash of (seed, variant, word, place, sizes) falls below
-``dropout``; being a function of the candidate alone, a skip does not depend on the order of work, on retries or on partitions.
-Each word of a text takes one of ``variants`` by a keyed hash of its place, so one word has several segmentations, and
-``dropout=0`` gives exactly the model's own encoding.
+and leftmost merges first. A candidate merge is skipped when the keyed hash of (seed, doc_id, the word's place in the text, place
+and sizes in the word) falls below ``dropout``; being a function of the candidate alone, a skip does not depend on the order of
+work, on retries or on partitions. Every occurrence of a word draws for itself, and ``dropout=0`` gives exactly the model's own
+encoding. Rows with the same doc_id draw alike, those without one too.
+
+An encoder remembers a word's agenda without dropout: its ids and the candidates that came up on the way. An occurrence that
+skips none of them has the same agenda; every other one runs its own. What is remembered saves work and limits nothing.
+With ``variants`` given, a word has that many segmentations at most: one per variant, which its place in the text selects.
 
 Characters without a piece become byte pieces; U+2581, which the model uses for a space, does too when it stands in a text.
 So decoding joins the bytes of the pieces and drops the leading space mark, whatever was merged.
@@ -17,6 +21,7 @@ the added column replaces one of the same name. Repeated rows and null doc_ids e
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -29,12 +34,15 @@ from pyspark.sql import types as T
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-DROPOUT, VARIANTS, SEED = 0.1, 4, 20
-#: Words that an encoder remembers in each of two generations.
+DROPOUT, SEED = 0.1, 20
+#: Words that an encoder with variants remembers in each of two generations.
 CACHE_ENTRIES = 250_000
+#: Agendas that an encoder remembers before it starts anew, and words that go through them at a time.
+AGENDAS, WORDS_AT_ONCE = 400_000, 100_000
 LONG_WORD = 100
 NEVER = np.int64(2**31 - 1)
 _PLACES = 1 << 12
+_START, _LEFT, _RIGHT, _GOLD = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x9E3779B97F4A7C15))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -82,23 +90,41 @@ class Pieces:
         self.kind = np.dtype("<u2") if n <= 65536 else np.dtype("<u4")
 
 
+class Agendas:
+    """Words by number, with the agenda that they have without dropout: its ids and its candidates' places."""
+
+    def __init__(self, line: bytes, mark: bytes):
+        self.number: dict[str, int] = {}
+        #: None for words that are too long to run in step; every occurrence runs its own agenda.
+        self.ids: list[bytes | None] = []
+        self.counts = self.firsts = self.places = np.zeros(0, np.int64)
+        self.add(["\n", SPACE], [line, mark], np.zeros(2, np.int64), np.zeros(0, np.int64))
+
+    def add(self, words: list[str], ids: list[bytes | None], counts: np.ndarray, places: np.ndarray) -> None:
+        self.number.update(zip(words, range(len(self.ids), len(self.ids) + len(words)), strict=True))
+        self.ids += ids
+        self.firsts = np.concatenate([self.firsts, np.cumsum(counts) - counts + len(self.places)])
+        self.counts = np.concatenate([self.counts, counts])
+        self.places = np.concatenate([self.places, places])
+
+
 class Encoder:
-    def __init__(self, path: str, dropout: float = DROPOUT, variants: int = VARIANTS, seed: int = SEED):
+    def __init__(self, path: str, dropout: float = DROPOUT, variants: int | None = None, seed: int = SEED):
         self.p, self.dropout, self.variants, self.seed = Pieces(path), dropout, variants, seed
+        self.below = np.uint64(math.ceil(dropout * 2**53))
         self.line = np.array([self.p.byte_ids[10]], self.p.kind).tobytes()
         self.mark = np.array([self.p.byte_ids[b] for b in SPACE.encode()], self.p.kind).tobytes()
+        self.agendas = Agendas(self.line, self.mark)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        drawn = _mix(np.arange(_PLACES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) % np.uint64(variants)
+        drawn = _mix(np.arange(_PLACES, dtype=np.uint64) * _GOLD + np.uint64(seed)) % np.uint64(variants or 1)
         self.places = "".join(chr(48 + int(v)) for v in drawn) * 2
 
     # Skips -----------------------------------------------------------------------------------------------------------
     def _skipped(self, key, start, left, right):
-        if self.dropout <= 0:
-            return np.zeros(len(start), bool)
         with np.errstate(over="ignore"):
-            x = key + start.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + left.astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + right.astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB)
-        return (_mix(x) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < self.dropout
+            x = key + start.astype(np.uint64) * _START + left.astype(np.uint64) * _LEFT + right.astype(np.uint64) * _RIGHT
+        return (_mix(x) >> np.uint64(11)) < self.below
 
     def word_key(self, keyed: str) -> int:
         return xxhash.xxh3_64_intdigest(keyed.encode(), seed=self.seed)
@@ -133,8 +159,12 @@ class Encoder:
         return [ids[i] if ids[i] >= 0 else -1 - ord(word[i]) for i in range(n) if size[i]]
 
     # Many words at once ----------------------------------------------------------------------------------------------
-    def segment(self, words: list[str], keys: np.ndarray) -> list[bytes]:
-        """The agenda of every word in step: a round merges the best candidate of each word that has one."""
+    def segment(self, words: list[str], keys: np.ndarray | None, seen: list[np.ndarray] | None = None) -> list[bytes]:
+        """The agenda of every word in step: a round merges the best candidate of each word that has one.
+
+        Skips are drawn by ``keys``. Without keys nothing is skipped and words are short; ``seen`` takes the candidates, each as its
+        word's number, its place and its two sizes in one integer.
+        """
         p, out = self.p, [b""] * len(words)
         short = [i for i, w in enumerate(words) if 0 < len(w) <= LONG_WORD]
         for i, w in enumerate(words):
@@ -151,7 +181,7 @@ class Encoder:
         size = np.ones(len(points), np.int64)
         sym = p.char_id[points].astype(np.int64)
         sym = np.where(sym < 0, -1 - points, sym)
-        key = keys[short]
+        key = keys[short] if keys is not None else None
 
         def pairs(i):
             """Rank and product of the candidates (i, i + 1)."""
@@ -163,7 +193,11 @@ class Encoder:
             rank, to = np.full(len(i), NEVER), np.zeros(len(i), np.int64)
             if len(hit):
                 ih = i[hit]
-                ok = hit[~self._skipped(key[own[ih]], start[ih], size[ih], size[j[hit]])]
+                if key is None:
+                    seen.append(own[ih] << 21 | start[ih] << 14 | size[ih] << 7 | size[j[hit]])
+                    ok = hit
+                else:
+                    ok = hit[~self._skipped(key[own[ih]], start[ih], size[ih], size[j[hit]])]
                 rank[ok], to[ok] = p.rank[at[ok]], p.to[at[ok]]
             return rank, to
 
@@ -237,7 +271,68 @@ class Encoder:
             at = (at + len(w)) % _PLACES
         return out
 
+    def items(self, text: str) -> list[str]:
+        """The words of a text, and its breaks as items of their own."""
+        if not text:
+            return []
+        out = []
+        parts = re.split(f"([\n{SPACE}])", " " + text) if SPACE in text else None
+        for i, line in enumerate(parts or (" " + text).split("\n")):
+            if parts and i % 2:
+                out.append(line)
+                continue
+            if not parts and i:
+                out.append("\n")
+            if line:
+                out += self.words(line)
+        return out
+
+    def _learn(self, words: list[str]) -> None:
+        short, long = [w for w in words if len(w) <= LONG_WORD], [w for w in words if len(w) > LONG_WORD]
+        for i in range(0, len(short), 20_000):
+            part, seen = short[i : i + 20_000], [np.zeros(0, np.int64)]
+            ids = self.segment(part, None, seen)
+            found = np.sort(np.concatenate(seen))
+            self.agendas.add(part, ids, np.bincount(found >> 21, minlength=len(part)), found & (1 << 21) - 1)
+        self.agendas.add(long, [None] * len(long), np.zeros(len(long), np.int64), np.zeros(0, np.int64))
+
+    def _occurrences(self, words: list[str], keys: np.ndarray) -> list[bytes]:
+        """The ids of every word, whose candidates are drawn by its key."""
+        if len(self.agendas.ids) > AGENDAS:
+            self.agendas = Agendas(self.line, self.mark)
+        known = self.agendas
+        self._learn(list(set(words) - known.number.keys()))
+        at = np.fromiter(map(known.number.__getitem__, words), np.int64, len(words))
+        out = list(map(known.ids.__getitem__, at.tolist()))
+        own = [i for i, x in enumerate(out) if x is None]
+        if self.dropout > 0:
+            count = known.counts[at]
+            starts = np.cumsum(count) - count
+            places = known.places[np.arange(int(count.sum())) + np.repeat(known.firsts[at] - starts, count)]
+            skipped = self._skipped(np.repeat(keys, count), places >> 14, places >> 7 & 127, places & 127)
+            own += np.unique(np.repeat(np.arange(len(words)), count)[skipped]).tolist()
+        for i in range(0, len(own), 20_000):
+            part = own[i : i + 20_000]
+            for j, x in zip(part, self.segment([words[j] for j in part], keys[part]), strict=True):
+                out[j] = x
+        return out
+
     def __call__(self, texts: list[str], places: list[int]) -> list[bytes]:
+        if self.variants:
+            return self.by_variant(texts, places)
+        items = [self.items(t) for t in texts]
+        words = [w for x in items for w in x]
+        ends = np.cumsum([len(x) for x in items]) if items else np.zeros(0, np.int64)
+        with np.errstate(over="ignore"):
+            of_text = _mix(np.array([x & (1 << 64) - 1 for x in places], np.uint64) + np.uint64(self.seed & (1 << 64) - 1) * _RIGHT)
+            n = np.array([len(x) for x in items], np.int64)
+            keys = _mix(np.repeat(of_text, n) + (np.arange(len(words)) - np.repeat(ends - n, n)).astype(np.uint64) * _GOLD)
+        ids = []
+        for i in range(0, len(words), WORDS_AT_ONCE):
+            ids += self._occurrences(words[i : i + WORDS_AT_ONCE], keys[i : i + WORDS_AT_ONCE])
+        return [b"".join(ids[b - len(x) : b]) for x, b in zip(items, ends.tolist(), strict=True)]
+
+    def by_variant(self, texts: list[str], places: list[int]) -> list[bytes]:
         cut = [self.keyed(t, x) for t, x in zip(texts, places, strict=True)]
         wanted = {w for c in cut for line in c if type(line) is list for w in line}
         if len(self.known) > CACHE_ENTRIES:
@@ -279,7 +374,7 @@ def place_of(doc_id, seed: int) -> int:
     return xxhash.xxh3_64_intdigest(str(doc_id).encode(), seed=seed)
 
 
-def encode(docs: DataFrame, model: str | None = None, dropout: float = DROPOUT, variants: int = VARIANTS, seed: int = SEED, per_batch: int = 512) -> DataFrame:
+def encode(docs: DataFrame, model: str | None = None, dropout: float = DROPOUT, variants: int | None = None, seed: int = SEED, per_batch: int = 512) -> DataFrame:
     """``docs`` with ``piece_ids``: the ids as little-endian unsigned integers, 2 bytes each (4 for models over 65,536 pieces)."""
     key = (model or model_path(), dropout, variants, seed)
     docs = docs.drop("piece_ids")
@@ -299,7 +394,7 @@ def encode(docs: DataFrame, model: str | None = None, dropout: float = DROPOUT,
 
 def decode(pieces: DataFrame, model: str | None = None) -> DataFrame:
     """``pieces`` with ``decoded``, the text of ``piece_ids``."""
-    key = (model or model_path(), 0.0, 1, 0)
+    key = (model or model_path(), 0.0)
     pieces = pieces.drop("decoded")
     schema = T.StructType([*pieces.schema.fields, T.StructField("decoded", T.StringType())])
     c = pieces.columns.index("piece_ids")
@@ -315,7 +410,7 @@ def decode(pieces: DataFrame, model: str | None = None) -> DataFrame:
 
 def digest(docs: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id, n_pieces, pieces_crc32, decoded_bytes and lossless per document, encoded and decoded again in one pass."""
-    key = (model or model_path(), DROPOUT, VARIANTS, SEED)
+    key = (model or model_path(),)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(*key)
