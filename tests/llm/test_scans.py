@@ -45,6 +45,29 @@ def test_op10(spark, docs, rows, none):
     assert sum(v for d, v in n.items() if d is None or d < 1000) == 0 and secrets.digest(none).isEmpty()
 
 
+def test_short_keys_paths_and_keys_of_letters(spark):
+    rnd, letters = random.Random(5), string.ascii_letters
+    key = lambda alphabet, n: "".join(rnd.choice(alphabet) for _ in range(n))
+    keys = [[key(letters + string.digits, 16 + i % 4) for i in range(60)], [key(letters + string.digits, 28) for _ in range(60)], [key(letters, 24) for _ in range(60)]]
+    forms = "key {} end", "see /my-app/v1_x/{}/log-file now", "key {} end"
+    plain = ["internationalization", "the_name_of_some_variable", "state-of-the-art-programming", "/home/user/documents/reports", "getAccountInformation", "-" * 40, "12345678901234567890123456"]
+    data = [(1000 * k + i, form.format(x)) for k, (form, part) in enumerate(zip(forms, keys, strict=True)) for i, x in enumerate(part)]
+    rows = data + [(9000 + i, f"a {plain[i % len(plain)]} b") for i in range(140)]
+    got = {r.doc_id: r.spans for r in secrets.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, part in enumerate(keys):
+        caught = 0
+        for i, x in enumerate(part):
+            at = dict(data)[1000 * k + i].index(x)
+            spans = [s.split(":") for s in got[1000 * k + i].split(",") if s]
+            caught += any(kind == "random" and int(a) <= at and at + len(x) <= int(b) for kind, a, b in spans)
+        assert caught >= 52, (k, caught)
+    wrong = [plain[i % len(plain)] for i in range(140) if "random" in got[9000 + i]]
+    assert not wrong, set(wrong)
+    # A token with + and / is reported once, and not again by its parts.
+    whole = key(letters + string.digits, 20) + "+" + key(letters + string.digits, 20) + "/" + key(letters + string.digits, 20)
+    assert sorted(len(x[5]) for x in secrets.candidates(whole, [])) == [0, 1, 1, 1] and secrets.digest(spark.createDataFrame([(1, whole)], "doc_id long, text string")).first().n_random == 1
+
+
 def test_battery_is_calibrated():
     rnd, low = random.Random(9), 0
     for _ in range(1500):

@@ -2,12 +2,15 @@
 
 Patterns give the base spans: assignments of a password-like name, access ids, long hex runs. The battery then looks at every run
 of key characters that no base span covers: it infers the smallest encoding that explains the run (hex, base32, base36, base62,
-base64) and tests the hypothesis "uniform symbols of that encoding" four ways: chi-squared over the symbols, chi-squared over the
+base64 with + and /, or with - and _) and tests the hypothesis "uniform symbols of that encoding" four ways: chi-squared over the symbols, chi-squared over the
 character classes, runs about the middle of the alphabet, and lag-1 serial correlation. Four p-values combine by Bonferroni.
+A run is tested as the longest pieces without - and _, the longest without + and /, and the longest of letters and digits alone, so
+that a key in a path or a dashed name is tested by itself too. Runs without digits or without letters are tested like all others.
 
 Tokens that are *not* random are found by Benjamini-Hochberg within a class of (encoding, length octave): thresholds come from
 counts of p-values over all documents, so short tokens, whose tests are weak, never dilute long ones. A token is reported where
-randomness stands and its length carries at least ``BITS`` bits. The counts are a mergeable histogram with logarithmic bins.
+randomness stands and its length carries at least ``BITS`` bits (15 characters of 64, 16 of 62, 18 of 32 or 36, 23 of 16), unless a
+longer piece around it is reported; two pieces that only overlap are both reported. The counts are a mergeable histogram with logarithmic bins.
 
 Null text is empty and has no spans. An empty table gives an empty result. Texts are scanned whole; rows are independent, so repeated
 rows repeat and null doc_ids are carried along. Only doc_id and text are read; other columns do not matter.
@@ -31,9 +34,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "random")
 
-RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 NAMES = ("pass", "secret", "token", "api")
 FALSE_DISCOVERY, BITS, BINS = 0.05, 90.0, 400
+#: Fewest characters that carry ``BITS`` in the largest encoding.
+LEAST = math.ceil(BITS / 6)
+RUN = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % LEAST)
+PLAIN, *WIDE = (re.compile(r"[A-Za-z0-9%s]{%d,}" % (x, LEAST)) for x in ("", "+/", "_-"))
 _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Name, alphabet, sizes of its character classes.
 ENCODINGS = (
@@ -59,10 +65,8 @@ def _chi2(x: float, df: int) -> float:
 
 
 def encoding_of(token: str) -> int:
-    """Index of the smallest encoding that has all symbols, with digits and letters both present; -1 if none."""
+    """Index of the smallest encoding that has all symbols; -1 if none."""
     seen = set(token)
-    if not seen & set(_DIGIT) or not seen & set(_LOWER + _UPPER):
-        return -1
     return next((i for i, t in enumerate(_TABLES) if seen <= t[1]), -1)
 
 
@@ -113,21 +117,34 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, float]]:
-    """(start, end, encoding, length octave, p) of key-like runs that no base span touches and that are long enough."""
-    out = []
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, float, list[tuple[int, int, float]]]]:
+    """(start, end, encoding, length octave, p, the last three of the pieces around it) of key-like pieces that no base span touches
+    and that are long enough."""
+    tested: dict[tuple[int, int], tuple[int, int, float] | None] = {}
+    around: dict[tuple[int, int], list] = {}
+
+    def test(a: int, b: int) -> tuple[int, int, float] | None:
+        if (a, b) not in tested:
+            e = encoding_of(text[a:b])
+            short = e < 0 or (b - a) * math.log2(len(_TABLES[e][1])) < BITS
+            ok = not short and not any(s < b and a < t for s, _, t in base)
+            tested[a, b], around[a, b] = (e, (b - a).bit_length(), combined(battery(text[a:b], e))) if ok else None, []
+        return tested[a, b]
+
     for m in RUN.finditer(text):
-        a, b = m.span()
-        e = encoding_of(m[0])
-        if e < 0 or (b - a) * math.log2(len(_TABLES[e][1])) < BITS or any(s < b and a < t for s, _, t in base):
-            continue
-        out.append((a, b, e, (b - a).bit_length(), combined(battery(m[0], e))))
-    return out
+        for pieces in WIDE:
+            for wide in pieces.finditer(text, *m.span()):
+                outer = test(*wide.span())
+                for part in PLAIN.finditer(text, *wide.span()):
+                    if part.span() != wide.span() and test(*part.span()) and outer:
+                        around[part.span()].append(outer)
+    return [(*span, *found, around[span]) for span, found in sorted(tested.items()) if found]
 
 
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
-_CAND = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("encoding", pa.int32()), ("octave", pa.int32()), ("bin", pa.int32())]))
-SCHEMA = "doc_id long, base array<struct<start: long, kind: int, end: long>>, found array<struct<start: long, end: long, encoding: int, octave: int, bin: int>>"
+_CLASS = [("encoding", pa.int32()), ("octave", pa.int32()), ("bin", pa.int32())]
+_CAND = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("encoding", pa.int32()), ("octave", pa.int32()), ("bin", pa.int32()), ("around", pa.list_(pa.struct(_CLASS)))]))
+SCHEMA = "doc_id long, base array<struct<start: long, kind: int, end: long>>, found array<struct<start: long, end: long, encoding: int, octave: int, bin: int, around: array<struct<encoding: int, octave: int, bin: int>>>>"
 
 
 def bin_of(p: float) -> int:
@@ -135,6 +152,10 @@ def bin_of(p: float) -> int:
     return min(BINS, math.floor(-10 * math.log10(p))) if p > 1e-300 else BINS
 
 
+def classed(encoding: int, octave: int, p: float) -> dict[str, int]:
+    return {"encoding": encoding, "octave": octave, "bin": bin_of(p)}
+
+
 def scan(docs: DataFrame, per_batch: int = 1000) -> DataFrame:
     """Base spans and battery results of every document."""
 
@@ -146,7 +167,7 @@ def scan(docs: DataFrame, per_batch: int = 1000) -> DataFrame:
                 for text in batch.column(1).to_pylist():
                     b = base_spans(text or "")
                     base.append([{"start": s, "kind": k, "end": e} for s, k, e in b])
-                    found.append([{"start": s, "end": e, "encoding": c, "octave": o, "bin": bin_of(p)} for s, e, c, o, p in candidates(text or "", b)])
+                    found.append([{"start": s, "end": e, **classed(c, o, p), "around": [classed(*x) for x in around]} for s, e, c, o, p, around in candidates(text or "", b)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(base, _SPAN), pa.array(found, _CAND)], names=["doc_id", "base", "found"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
@@ -170,7 +191,8 @@ def detect(docs: DataFrame) -> DataFrame:
     # At most a row per (encoding, octave): 8 encodings times 31 octaves, whatever the corpus.
     limits = [x for r in thresholds(scanned).collect() for x in (F.lit(f"{r.encoding}:{r.octave}"), F.lit(r.limit))]
     limit = F.create_map(*limits) if limits else F.create_map(F.lit(""), F.lit(0))
-    random = F.filter("found", lambda c: c["bin"] < F.element_at(limit, F.concat_ws(":", c["encoding"], c["octave"])))
+    stands = lambda c: c["bin"] < F.element_at(limit, F.concat_ws(":", c["encoding"], c["octave"]))
+    random = F.filter("found", lambda c: stands(c) & ~F.exists(c["around"], stands))
     random = F.transform(random, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
     return scanned.select("doc_id", "base", F.sort_array(F.concat("base", random)).alias("spans"))
 
