@@ -54,6 +54,22 @@ def test_sketches_merge_and_bound_quantiles(spark):
     assert r.q1 == pytest.approx(exact[249], rel=0.021) and r.q3 == pytest.approx(exact[747], rel=0.021)
 
 
+def test_bounds_hold_in_sources_full_of_junk(spark):
+    """Sources of which up to 49 % are junk of one kind lose the junk, all of it below the base rule, and keep the rest."""
+    kinds = {"n_symbols": 300, "n_capitals": 150, "n_repeat_words": 90, "n_dup_lines": 18, "long": 3000, "short": 200}
+    data = []
+    for kind, bad in kinds.items():
+        for junk in (1, 60, 80, 98):
+            for i in range(200):
+                row = {"n_words": 200, "word_chars": 960 + i % 80, "n_symbols": i % 3, "n_capitals": 14 + i % 8, "n_repeat_words": i % 5, "n_dup_lines": 0, "n_lines": 40}
+                if i < junk:
+                    row["word_chars" if kind in ("long", "short") else kind] = bad + i % 7 * (bad > 100)
+                data.append(("en", f"{kind}-{junk}", False, i < junk, *row.values()))
+    features = spark.createDataFrame(data, "lang string, source string, base_failed boolean, junk boolean, n_words long, word_chars long, n_symbols long, n_capitals long, n_repeat_words long, n_dup_lines long, n_lines long")
+    got = quality.judged(features, quality.bounds(quality.sketch(features))).groupBy("source", "junk").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
+    assert {(r.source, r.junk): r.kept for r in got} == {(f"{k}-{n}", j): 0.0 if j else 1.0 for k in kinds for n in (1, 60, 80, 98) for j in (True, False)}
+
+
 def level(sizes, weights):
     """Targets by repeated sharing."""
     names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])

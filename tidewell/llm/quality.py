@@ -4,7 +4,10 @@ Every document gets ratios (symbols, capitals, repeated words, repeated lines) a
 documents that pass the base rule are summarised per (lang, source) by a mergeable quantile sketch: counts in buckets whose
 bounds grow by a constant factor (DDSketch), so that merging is addition, any partitioning gives the same sketch, and each
 quantile is exact to ``2 %``. Small groups borrow the merged sketch of their language, then that of all documents. A metric is
-out of bounds beyond ``Q3 + reach * max(Q3 - Q1, spread)`` of its group; the filter joins documents with these bounds.
+out of bounds beyond ``median + half + reach * max(2 half, spread)`` of its group; the filter joins documents with these bounds.
+``half`` is the distance from Q1 to the median, so this is ``Q3 + reach * max(Q3 - Q1, spread)`` where a metric is symmetric, and
+junk, which lies above, does not move a bound into itself before it is half of a group; beyond that it sets its own bounds.
+Junk lies on both sides of the mean word length, whose ``half`` is the lesser of the distances from the median to Q1 and Q3.
 
 Only DataFrame functions run. Null text counts as no words, null lang and null source are groups of their own, and an empty
 table gives an empty result. Extra columns pass through ``apply_rules`` whatever their names.
@@ -25,8 +28,9 @@ SYMBOLS = "#*$%&|<>"
 #: Latin capitals; the second row has those beyond ASCII.
 CAPITALS = "".join(map(chr, range(65, 91))) + "".join(chr(c) for c in range(0xC0, 0xDF) if c != 0xD7)
 METRICS = ("symbol_ratio", "capital_ratio", "repeat_ratio", "dup_line_ratio", "mean_word")
-#: Least spread of each metric that a bound allows for, so that a group without variation keeps slight deviations.
-SPREAD = {"symbol_ratio": 0.01, "capital_ratio": 0.04, "repeat_ratio": 0.16, "dup_line_ratio": 0.2, "mean_word": 1.0}
+#: Least spread of each metric that a bound allows for, so that a group without variation keeps slight deviations. Three spreads are
+#: less than what the base rule allows, and more than the good documents of sf0.1 reach.
+SPREAD = {"symbol_ratio": 0.01, "capital_ratio": 0.02, "repeat_ratio": 0.12, "dup_line_ratio": 0.12, "mean_word": 1.0}
 REACH = 3.0
 #: Growth of bucket bounds, and the value below which all count as zero.
 GROWTH, LEAST = 1.04, 1e-4
@@ -105,16 +109,16 @@ def sketch(features: DataFrame) -> DataFrame:
 
 
 def quartiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """Q1, Q3 and the row count of each group of a sketch."""
+    """Q1, median, Q3 and the row count of each group of a sketch."""
     merged = sketches.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*keys, "metric")
     run = merged.select("*", F.sum("n").over(w.orderBy("bucket")).alias("upto"), F.sum("n").over(w).alias("rows"))
 
     first = lambda q: F.min(F.when(F.col("upto") >= F.ceil(q * F.col("rows")), F.col("bucket")))
-    found = run.groupBy(*keys, "metric").agg(first(0.25).alias("b1"), first(0.75).alias("b3"), F.max("rows").alias("rows"))
+    found = run.groupBy(*keys, "metric").agg(first(0.25).alias("b1"), first(0.5).alias("b2"), first(0.75).alias("b3"), F.max("rows").alias("rows"))
     at = lambda b: F.when(F.col(b) == 0, F.lit(0.0)).otherwise(LEAST * F.pow(F.lit(GROWTH), F.col(b) - 1.5))
 
-    return found.select(*keys, "metric", "rows", at("b1").alias("q1"), at("b3").alias("q3"))
+    return found.select(*keys, "metric", "rows", at("b1").alias("q1"), at("b2").alias("q2"), at("b3").alias("q3"))
 
 
 def bounds(sketches: DataFrame, min_group: int = MIN_GROUP, reach: float = REACH) -> DataFrame:
@@ -125,8 +129,10 @@ def bounds(sketches: DataFrame, min_group: int = MIN_GROUP, reach: float = REACH
     joined = o.join(l, F.col("o_lang").eqNullSafe(F.col("l_lang")) & (F.col("o_metric") == F.col("l_metric"))).join(a, F.col("o_metric") == F.col("a_metric"))
     pick = lambda c: F.when(F.col("o_rows") >= min_group, F.col(f"o_{c}")).when(F.col("l_rows") >= min_group, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}"))
     spread = F.element_at(F.create_map(*[x for m, s in SPREAD.items() for x in (F.lit(m), F.lit(s))]), F.col("o_metric"))
-    width = reach * F.greatest(pick("q3") - pick("q1"), spread)
-    rows = joined.select(F.col("o_lang").alias("lang"), F.col("o_source").alias("source"), F.col("o_metric").alias("metric"), (pick("q3") + width).alias("top"), (pick("q1") - width).alias("low"))
+    half = pick("q2") - pick("q1")
+    half = F.when(F.col("o_metric") == "mean_word", F.least(half, pick("q3") - pick("q2"))).otherwise(half)
+    width = half + reach * F.greatest(2 * half, spread)
+    rows = joined.select(F.col("o_lang").alias("lang"), F.col("o_source").alias("source"), F.col("o_metric").alias("metric"), (pick("q2") + width).alias("top"), (pick("q2") - width).alias("low"))
     per = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
     return rows.groupBy("lang", "source").agg(*[per(m, "top").alias(f"top_{m}") for m in METRICS], per("mean_word", "low").alias("low_mean_word"))
 
