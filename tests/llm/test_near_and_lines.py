@@ -1,4 +1,5 @@
 import itertools
+import math
 
 import numpy as np
 import pytest
@@ -130,3 +131,13 @@ def test_lines_equal_brute_force(spark, docs, short):
 
 def test_lines_of_empty_table(none):
     assert fuzzy_lines.digest(none).isEmpty() and fuzzy_lines.deduplicate(none).isEmpty()
+
+
+def test_leaves_compare_pairs_whose_tokens_agree_little(spark):
+    """At the threshold, fewer pairs are lost to the token filter than to all trees."""
+    lost = sum(math.comb(64, i) * 0.8**i * 0.2 ** (64 - i) for i in range(chosen_path.agree(80)))
+    assert lost < 0.06**4
+    a, b = np.zeros(64, "<u2"), np.array([0] * 36 + [1] * 28, "<u2")
+    rows = [(1, i, i, 100, bytearray(t.tobytes())) for i, t in ((1, a), (2, b))]
+    leaf = spark.createDataFrame(rows, "key long, id long, comp long, n long, tokens binary").coalesce(1)
+    assert [(r.a, r.b) for r in chosen_path.leaf_pairs(leaf, 80, False).collect()] == [(1, 2)]

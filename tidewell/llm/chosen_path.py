@@ -4,7 +4,9 @@ A document is the set of its distinct ``width``-word shingles (lower-cased ASCII
 class carries ``COORDINATES`` minwise tokens. In a tree, a node chooses two of the tokens at random and sends every class to
 the two children named by its own values: a pair with similarity s stays together in a child with probability s, so pairs
 at the threshold survive as a branching process while others part quickly. Nodes of at most ``LEAF`` classes are compared
-exhaustively; larger ones branch on. ``TREES`` independent trees bring the recall at the threshold to ``1 - 0.06^4`` or better.
+pair by pair; larger ones branch on. ``TREES`` independent trees bring the recall at the threshold to ``1 - 0.06^4`` or better.
+Of the pairs in a leaf, those whose 64 tokens agree in fewer than the threshold's mean less ``DEVIATIONS`` standard deviations (35
+at 0.8) are not confirmed. All trees share the tokens, so no tree finds such a pair; at the threshold it is one in 800,000.
 
 Links are confirmed on the full sets, so no false link remains. Long chains of one tree (deep nodes) come first and link the large
 groups of copies, then the roots of large nodes do; what is in one component already is never compared again, which keeps groups
@@ -32,6 +34,8 @@ from tidewell.llm.scratch import drop, keep
 WIDTH, PERCENT = 5, 80
 COORDINATES, TREES, CHAINS, CHAIN_DEPTH = 64, 4, 2, 8
 START_DEPTH, MOST_DEPTH, LEAF, MOST_IN_TASK = 2, 9, 48, 1024
+#: Standard deviations below the threshold's mean down to which tokens of a pair in a leaf may agree.
+DEVIATIONS = 5
 #: Ids up to which their table is sent to every executor (8 bytes each) instead of shuffling the texts.
 BROADCAST_IDS = 500_000
 _U = np.uint64
@@ -199,19 +203,19 @@ def _children(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def agree(percent: int) -> int:
-    """Least number of equal tokens for a comparison on full sets: three standard deviations below the threshold's mean."""
+def agree(percent: int, deviations: int = DEVIATIONS) -> int:
+    """Least number of equal tokens for a comparison on full sets: some standard deviations below the threshold's mean."""
     s = percent / 100
-    return max(1, int(COORDINATES * s - 3 * (COORDINATES * s * (1 - s)) ** 0.5))
+    return max(1, int(COORDINATES * s - deviations * (COORDINATES * s * (1 - s)) ** 0.5))
 
 
-def leaf_pairs(rows: DataFrame, percent: int, best: bool) -> DataFrame:
+def leaf_pairs(rows: DataFrame, percent: int, best: bool, deviations: int = DEVIATIONS) -> DataFrame:
     """Pairs within each node that differ in component, fit in size, and agree in enough tokens; nodes fit in a task.
 
     With ``best``, of the pairs between two components of a node only the one that agrees most: one link joins them, and
     what this leaves apart is listed whole by a second call.
     """
-    least = agree(percent)
+    least = agree(percent, deviations)
 
     def compare(key, ids, comp, n, t):
         lens = np.diff(np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key)))

@@ -33,6 +33,8 @@ from tidewell.llm.words import SEPARATORS
 
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 14, 5
+#: Standard deviations below the threshold that tokens of later candidates may agree in.
+AGREE_DEVIATIONS = 3
 BROADCAST_LINES = 500_000
 LAST = 2**63 - 1
 _rng = np.random.default_rng(0x11E5)
@@ -148,11 +150,11 @@ def line_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     majors = chosen_path.majors(keep(placed, "line-placed"))
     mixed = keep(placed.join(majors.select("key"), "key", "left_semi").join(signed(texts), "id").select("key", "id", "comp", "n", "tokens"), "line-mixed")
     leaves = chosen_path.in_blocks(mixed, majors)
-    first = keep(chosen_path.leaf_pairs(leaves, percent, True), "line-best")
+    first = keep(chosen_path.leaf_pairs(leaves, percent, True, AGREE_DEVIATIONS), "line-best")
     found = keep(found.union(links(first.select("a", "b").distinct())), "line-links")
     comp = components(found)
     open_ = leaves.join(first.where("more").select("key").distinct(), "key", "left_semi")
-    rest = chosen_path.leaf_pairs(chosen_path.placed(open_, comp).select("key", "id", "comp", "n", "tokens"), percent, False).select("a", "b")
+    rest = chosen_path.leaf_pairs(chosen_path.placed(open_, comp).select("key", "id", "comp", "n", "tokens"), percent, False, AGREE_DEVIATIONS).select("a", "b")
     # Bands with many lines outside their largest component are compared in blocks, all of them.
     hard = mixed.join(majors.where("NOT few").select("key"), "key", "left_semi").select("key", "id", "comp")
     second = links(rest.union(cross_pairs(hard)).distinct())
