@@ -1,13 +1,15 @@
 """A corpus pipeline: quality rules, line dedup, near-dedup, mixing, SentencePiece encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read back as the docs of the next
-one. All but the last return the columns of ``documents``; the last adds ``piece_ids`` and leaves ``text`` out. Stages work on whole
+one. All but the last return the columns of ``documents``; the last adds ``piece_ids`` and ``lossless``, which tells whether they
+decode to the text again, and leaves ``text`` out. Stages work on whole
 texts and on every row that their predecessor kept. A document drawn twice by the mix is two rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewell.llm import chosen_path, fuzzy_lines, merge_dropout, mixing, quality
 from tidewell.llm.scratch import keep, small_batches
@@ -33,7 +35,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return merge_dropout.encode(docs).drop("text")
+    back = merge_dropout.decode(merge_dropout.encode(docs))
+    return back.withColumn("lossless", F.col("decoded") == F.coalesce("text", F.lit(""))).drop("text", "decoded")
 
 
 STAGES = [

@@ -1,6 +1,7 @@
 """The pipeline's stages against brute-force versions, chained as the driver chains them."""
 
 import pytest
+from pyspark.sql import functions as F
 
 pipeline = pytest.importorskip("corpus_pipeline")
 from test_near_and_lines import brute_docs, brute_lines  # noqa: E402
@@ -33,3 +34,12 @@ def test_stages(spark, rows, tmp_path):
     e, by = merge_dropout.encoder(merge_dropout.model_path(), 0.0, 1, 0), {r.doc_id: r.text for r in mixed}
     assert all(e.decode(bytes(r.piece_ids)).decode() == by[r.doc_id] for r in encoded if r.doc_id is not None)
     assert pipeline.run(spark, str(tmp_path)).count() == len(encoded)
+
+
+def test_the_last_stage_decodes(spark, rows, monkeypatch):
+    docs = spark.createDataFrame([r[:5] for r in rows if not r[1] or len(r[1]) < 50_000], "doc_id long, text string, lang string, source string, n_chars long")
+    out = pipeline.piece_encoding(spark, docs, "")
+    assert out.columns == ["doc_id", "lang", "source", "n_chars", "piece_ids", "lossless"]
+    assert [r.lossless for r in out.select("lossless").collect()] == [True] * docs.count()
+    monkeypatch.setattr(merge_dropout, "encode", lambda d, encode=merge_dropout.encode: encode(d.withColumn("text", F.concat("text", F.lit("x")))).drop("text").join(d.select("doc_id", "text"), "doc_id"))
+    assert not any(r.lossless for r in pipeline.piece_encoding(spark, docs.where("doc_id < 5 and text <> ''"), "").collect())
