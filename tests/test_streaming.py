@@ -1,4 +1,5 @@
 import os
+import time
 from datetime import UTC, datetime, timedelta
 from pathlib import Path
 
@@ -48,18 +49,34 @@ def test_stream_into_store(spark, tmp_path):
     assert direct == 8
 
 
-def test_watermark_closes_and_drops(spark, tmp_path):
+def closed(spark, tmp_path, batches, name):
+    """Sums of the windows that a stream of ``batches`` closes, by the minute they start in."""
     src = f"{tmp_path}/in"
-    for i, rows in enumerate([[(0, 1)], [(200, 5)], [(10, 8)], [(400, 3)]]):
+    for i, rows in enumerate(batches):
         before = set(Path(src).glob("*.parquet"))
         batch(spark, f"b{i}", rows).coalesce(1).write.mode("append").parquet(src)
         for f in set(Path(src).glob("*.parquet")) - before:
             os.utime(f, (1_700_000_000 + 10 * i,) * 2)  # files are taken by age
     stream = spark.readStream.schema(POINT).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(src)
-    q = ingest.closed_windows(stream, 60, timedelta(seconds=30)).writeStream.format("memory").queryName("closed").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = {r.window_start.minute: r["sum"] for r in spark.table("closed").collect()}
-    assert got[0] == 1.0 and got[3] == 5.0
+    q = ingest.closed_windows(stream, 60, timedelta(seconds=30)).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    return {r.window_start.minute: r["sum"] for r in spark.table(name).collect()}
+
+
+def test_watermark_closes_and_drops(spark, tmp_path):
+    got = closed(spark, tmp_path, [[(0, 1)], [(200, 5)], [(201, 1)], [(10, 8)], [(400, 3)]], "closed")
+    assert got[0] == 1.0 and got[3] == 6.0
+
+
+def test_late_rows_right_behind_the_jump(spark, tmp_path):
+    """They still count by default, and do not where a session has one watermark for late rows and for closing."""
+    batches = [[(0, 1)], [(200, 5)], [(10, 8)], [(400, 3)]]
+    assert closed(spark, tmp_path / "a", batches, "lagging")[0] == 9.0
+    spark.conf.set(ingest.ONE_WATERMARK, "false")
+    try:
+        assert closed(spark, tmp_path / "b", batches, "strict")[0] == 1.0
+    finally:
+        spark.conf.unset(ingest.ONE_WATERMARK)
 
 
 def test_idle_closes_only_the_oldest():
@@ -77,8 +94,14 @@ def test_idle_closes_only_the_oldest():
 
 
 def test_idle_stream_runs(spark, tmp_path):
+    """A timeout in processing time needs a trigger that goes on; ``availableNow`` would wait for it for ever."""
     batch(spark, "b", [(0, 1), (10, 2), (200, 5)]).coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(POINT).parquet(f"{tmp_path}/in")
-    q = ingest.idle_windows(stream, 60, timedelta(seconds=0), timedelta(hours=1)).writeStream.format("memory").queryName("idle").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert [(r["count"], r["sum"]) for r in spark.table("idle").collect()] == [(2, 3.0)]
+    q = ingest.idle_windows(stream, 60, timedelta(seconds=0), timedelta(seconds=1)).writeStream.format("memory").queryName("idle").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(processingTime="500 milliseconds").start()
+    try:
+        until = time.monotonic() + 90
+        while time.monotonic() < until and spark.table("idle").count() < 2:
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    assert [(r["count"], r["sum"]) for r in spark.table("idle").orderBy("window_start").collect()] == [(2, 3.0), (1, 5.0)]

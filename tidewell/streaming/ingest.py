@@ -23,6 +23,10 @@ from tidewell.schema import SERIES
 from tidewell.sources import points as P
 
 
+#: Session setting: false for one watermark for late rows and closing.
+ONE_WATERMARK = "spark.sql.streaming.statefulOperator.allowMultiple"
+
+
 def fold(store: Store, points: DataFrame, seconds: int, now: datetime, attempts: int = 3) -> dict[str, int]:
     """Commit the points that the ledger does not have; returns the revision per tenant. Tenants commit independently."""
     points = ledger.first_delivery(points).persist()
@@ -60,7 +64,12 @@ def into_store(envelopes: DataFrame, store: Store, quarantine: str, checkpoint:
 
 
 def closed_windows(points: DataFrame, seconds: int, lateness: timedelta) -> DataFrame:
-    """Windows that the watermark has closed, each once (append mode); points later than that are dropped."""
+    """Windows that the watermark has closed, each once (append mode); points later than that are dropped.
+
+    Spark moves the watermark after a micro-batch. By default windows close with the new one while late rows are told by the one
+    before, so a late row of the very next batch still counts where its window is open; with ``ONE_WATERMARK`` set to false
+    in the session, which allows one stateful operator a query, both use the new one.
+    """
     rows = points.withColumns({"timestamp": F.col("timestamp").cast("timestamp"), "label_hash": label_hash(F.col("labels"))})
     w = F.window("timestamp", f"{seconds} seconds")
     out = rows.withWatermark("timestamp", f"{int(lateness.total_seconds() * 1000)} milliseconds").groupBy(*SERIES, w.alias("w")).agg(
@@ -100,7 +109,10 @@ class Tumbling:
 
 
 def idle_windows(points: DataFrame, seconds: int, lateness: timedelta, idle: timedelta) -> DataFrame:
-    """Windows of each tenant and metric, closed by the watermark, or after ``idle`` of silence one after the other."""
+    """Windows of each tenant and metric, closed by the watermark, or after ``idle`` of silence one after the other.
+
+    For processing-time triggers: ``availableNow`` does not end while a timeout is pending.
+    """
     size, late, wait = seconds * 1_000_000, int(lateness.total_seconds() * 1e6), int(idle.total_seconds() * 1000)
 
     def each(key: tuple, frames, state: GroupState):
