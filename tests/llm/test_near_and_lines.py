@@ -3,8 +3,11 @@ import math
 
 import numpy as np
 import pytest
-from tidewell.llm import chosen_path, fuzzy_lines
-from tidewell.llm.components import alike, components, confirm, cross_pairs
+import xxhash
+from pyspark.sql import functions as F
+from tidewell.llm import chosen_path, fuzzy_lines, groups
+from tidewell.llm.components import components
+from tidewell.llm.groups import alike
 
 
 def roots(n, links):
@@ -30,23 +33,61 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).isEmpty()
 
 
-def test_confirm_is_exact_and_salted(spark, monkeypatch):
-    monkeypatch.setattr("tidewell.llm.components.PARTNERS", 3)
-    rng = np.random.default_rng(5)
+def test_long_chains_take_few_rounds(spark):
+    """In any order of their ids."""
+    rng = np.random.default_rng(4)
+    order = rng.permutation(600) + 1000
+    edges = [(i, i + 1) for i in range(600)] + [(int(order[i]), int(order[i + 1])) for i in range(599)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(601), 0), **dict.fromkeys(range(1000, 1600), 1000)}
+
+
+def some_sets(rng, n):
     base = rng.integers(0, 2**62, 100)
-    sets = [np.unique(np.concatenate([base[: rng.integers(70, 100)], rng.integers(0, 2**62, rng.integers(0, 20))])).astype("<u8") for _ in range(30)] + [np.zeros(0, "<u8")]
+    return [np.unique(np.concatenate([base[: rng.integers(60, 100)], rng.integers(0, 2**62, rng.integers(0, 20))])).astype("<u8") for _ in range(n)]
+
+
+def test_linked_connects_what_is_alike(spark):
+    rng = np.random.default_rng(5)
+    sets = [*some_sets(rng, 30), np.zeros(0, "<u8"), *some_sets(rng, 12)]
     df = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "id long, members binary")
-    pairs = list(itertools.combinations(range(31), 2))
-    got = {(r.a, r.b) for r in confirm(spark.createDataFrame(pairs, "a long, b long"), df).collect()}
-    want = {(a, b) for a, b in pairs if (u := len(set(sets[a]) | set(sets[b]))) and 100 * len(set(sets[a]) & set(sets[b])) >= 80 * u}
-    assert got == want and 0 < len(want) < len(pairs) and not alike(sets[30], sets[30], 80)
+    members = [(1, i) for i in range(31)] + [(2, i) for i in range(31, 43)] + [(3, 0), (3, 30), (4, 5)]
+    got = [(r.a, r.b) for r in groups.linked(spark.createDataFrame(members, "gid long, id long"), df, 80).collect()]
+    true = {(a, b) for a, b in itertools.combinations(range(43), 2) if (u := len(set(sets[a]) | set(sets[b]))) and 100 * len(set(sets[a]) & set(sets[b])) >= 80 * u}
+    want = roots(43, [(a, b) for a, b in true if (a < 31) == (b < 31)])
+    assert set(got) <= true and roots(43, got) == want and len(got) < 43 and 2 < len(set(want)) < 43
+    assert not alike(sets[30], sets[30], 80)
 
 
-def test_cross_pairs_leave_none_out(spark):
+def test_chunks_cover_every_pair(monkeypatch):
+    monkeypatch.setattr(groups, "MOST_MEMBERS", 100)
+    rng = np.random.default_rng(6)
+    ids, sizes = np.arange(40), rng.integers(1, 30, 40)
+    found = groups.chunks(ids, sizes)
+    assert {p for g in found for p in itertools.combinations(g.tolist(), 2)} == set(itertools.combinations(range(40), 2))
+    assert all(sizes[g].sum() <= 100 + 2 * 30 for g in found)
+    assert [x.tolist() for x in groups.chunks(ids[:2], np.array([1000, 2000]))] == [[0, 1]]
+
+
+def test_outsider_blocks_leave_no_pair_out(spark):
     rng = np.random.default_rng(8)
     rows = [(k, 1000 * k + i, int(c)) for k, n in ((1, 300), (2, 40), (3, 2), (4, 5)) for i, c in enumerate(rng.choice([1, 1, 1, 1, 2, 3], n) if k < 4 else [9] * n)]
-    got = {(r.a, r.b) for r in cross_pairs(spark.createDataFrame(rows, "key long, id long, comp long"), block=16).collect()}
-    assert got == {(x[1], y[1]) for x, y in itertools.combinations(rows, 2) if x[0] == y[0] and x[2] != y[2]}
+    out = groups.outsider_blocks(spark.createDataFrame(rows, "key long, id long, comp long"), 32).collect()
+    per = {}
+    for r in out:
+        per.setdefault(r.key, set()).add(r.id)
+    met = {p for g in per.values() for p in itertools.combinations(sorted(g), 2)}
+    assert {(x[1], y[1]) for x, y in itertools.combinations(rows, 2) if x[0] == y[0] and x[2] != y[2]} <= met
+    assert max(map(len, per.values())) < 80 and len(out) == len({(r.key, r.id) for r in out})
+
+
+def test_hub_blocks_share_rows(spark):
+    rows = spark.range(1000).select(F.lit(7).cast("long").alias("key"), "id", F.lit(1000).alias("c"))
+    per = {}
+    for r in groups.hub_blocks(rows, 200).collect():
+        per.setdefault(r.key, set()).add(r.id)
+    hubs = set.intersection(*per.values())
+    assert len(per) == 10 and set.union(*per.values()) == set(range(1000)) and 20 < len(hubs) < 80 and max(map(len, per.values())) < 250
 
 
 def brute_docs(rows, width):
@@ -57,10 +98,11 @@ def brute_docs(rows, width):
     return roots(max(r[0] for r in rows if r[0] is not None) + 1, links)
 
 
-@pytest.mark.parametrize(("width", "options"), [(2, {}), (5, {"leaf": 4, "most": 4}), (2, {"leaf": 3, "most": 2})])
+@pytest.mark.parametrize(("width", "options"), [(2, {}), (5, {"most": 16, "deepest": 5}), (2, {"most": 8, "deepest": 3})])
 def test_link_equals_brute_force(docs, rows, width, options, monkeypatch):
     if options:
-        monkeypatch.setattr(chosen_path, "MOST_IN_TASK", 8)
+        monkeypatch.setattr(groups, "HUBS", 2)
+        monkeypatch.setattr(groups, "MOST_MEMBERS", 2000)
         monkeypatch.setattr(chosen_path, "BROADCAST_IDS", 0)
     want = brute_docs(rows, width)
     got = chosen_path.link(docs, width=width, **options).collect()
@@ -88,56 +130,99 @@ def test_deduplicate_keeps_columns_and_clean_rows(docs, none, rows):
     assert chosen_path.link(none).isEmpty() and chosen_path.deduplicate(none).isEmpty()
 
 
-def brute_lines(rows):
-    occ = sorted((fuzzy_lines.LAST if d is None else d, i, x) for d, t, *_ in rows for i, x in enumerate((t or "").split("\n")) if x.strip(" \t\x0b\x0c\r"))
-    texts = list(dict.fromkeys(x for *_, x in occ))
-    sets = [np.unique(fuzzy_lines.shingles(x)) for x in texts]
-    root = roots(len(texts), [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if alike(sets[a], sets[b], 80)])
-    at, first = {x: i for i, x in enumerate(texts)}, {}
-    for d, i, x in occ:
-        first.setdefault(root[at[x]], (d, i))
-    return {(d, i) for d, i, x in occ if first[root[at[x]]] == (d, i)}
+CLASHING = ["_gone", "_id", "_row", "_doc", "_version", "_own_doc", "_text", "gone", "doc", "version", "line", "h", "key", "root", "comp"]
 
 
-@pytest.fixture(scope="module")
-def short(rows):
-    return [r for r in rows if not r[1] or len(r[1]) < 50_000]
+@pytest.mark.parametrize("f", [chosen_path.deduplicate, fuzzy_lines.deduplicate])
+def test_extra_columns_of_any_name_pass_through(spark, docs, f):
+    wide = docs.select("doc_id", "text", *[F.col("doc_id").alias(c) for c in CLASHING])
+    got = f(wide)
+    assert got.columns == wide.columns
+    assert all(r[c] == r.doc_id for r in got.collect() for c in CLASHING)
 
 
-def test_lines_equal_brute_force(spark, docs, short):
-    docs = spark.createDataFrame(short, docs.schema)
-    want = brute_lines(short)
-    got = fuzzy_lines.digest(docs).collect()
-    assert len(got) >= len(short)
-    for r in got:
-        if r.doc_id is not None:
-            assert sorted(r.kept_lines or []) == sorted(i for d, i in want if d == r.doc_id), r
-            assert r.n_kept == len(r.kept_lines or [])
-    out = {r.doc_id: r for r in fuzzy_lines.deduplicate(docs).collect() if r.doc_id is not None}
-    for d, t, *_ in short:
-        if d is None:
-            continue
-        lines = (t or "").split("\n")
-        words = [i for i, x in enumerate(lines) if x.strip(" \t\x0b\x0c\r")]
-        left = [x for i, x in enumerate(lines) if i not in words or (d, i) in want]
-        if words and not any((d, i) in want for i in words):
-            assert d not in out
-        elif t is None:
-            assert out[d].text is None
-        else:
-            assert out[d].text == "\n".join(left)
-    assert set(fuzzy_lines.deduplicate(docs).columns) == set(docs.columns)
+def version(text):
+    """Spark's hash of a text, which orders the documents that share a doc_id."""
+    return 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42) - (1 << 64) * (xxhash.xxh64_intdigest(text.encode(), 42) >> 63)
+
+
+def brute_lines(rows):
+    """(doc_id, version, line number) of the lines that stay."""
+    occ = sorted({(d is None, d or 0, version(t), i, x) for d, t, *_ in rows for i, x in enumerate((t or "").split("\n")) if x.strip(" \t\x0b\x0c\r")})
+    texts = list(dict.fromkeys(x for *_, x in occ))
+    sets = [fuzzy_lines.line_set(x.encode()) for x in texts]
+    root = roots(len(texts), [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if alike(sets[a], sets[b], 80)])
+    at, first = {x: i for i, x in enumerate(texts)}, {}
+    for *place, x in occ:
+        first.setdefault(root[at[x]], place)
+    return {(None if late else d, v, i) for late, d, v, i, x in occ if first[root[at[x]]] == [late, d, v, i]}
+
+
+@pytest.mark.parametrize("most", [2048, 4])
+def test_lines_equal_brute_force(spark, docs, rows, most, monkeypatch):
+    if most < 100:
+        monkeypatch.setattr(fuzzy_lines.line_components, "__defaults__", (80, most))
+        monkeypatch.setattr(groups, "HUBS", 1)
+        monkeypatch.setattr(fuzzy_lines, "BROADCAST_LINES", 0)
+    more = [(None, rows[0][1], *[None] * 7), (None, "alone without an id\n" + (rows[1][1] or ""), *[None] * 7), (2**63 - 1, "the last id there is\nalone without an id", *[None] * 7)]
+    all_rows = [*rows, *more]
+    docs = spark.createDataFrame(all_rows, docs.schema)
+    want = brute_lines(all_rows)
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_lines, r.kept_lines) for r in fuzzy_lines.digest(docs).collect())
+    words = lambda t: [i for i, x in enumerate((t or "").split("\n")) if x.strip(" \t\x0b\x0c\r")]
+    assert got == sorted((d is None, d or 0, len(words(t)), [i for i in words(t) if (d, version(t), i) in want]) for d, t, *_ in all_rows)
+    assert all(r.n_kept == len(r.kept_lines) for r in fuzzy_lines.digest(docs).collect())
+    out = fuzzy_lines.deduplicate(docs)
+    assert out.columns == docs.columns
+    expected = []
+    for d, t, *_ in all_rows:
+        left = [x for i, x in enumerate((t or "").split("\n")) if i not in words(t) or (d, version(t), i) in want]
+        if not words(t) or any((d, version(t), i) in want for i in words(t)):
+            expected.append((d is None, d or 0, "" if t is None else "\n".join(left), t is None))
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "", r.text is None) for r in out.collect()) == sorted(expected)
+
+
+def test_bands_reach_their_recall():
+    """Pairs of sets at the threshold share a band as often as the docstring says."""
+    rng = np.random.default_rng(2)
+    lost = 0
+    for _ in range(400):
+        x = rng.integers(0, 2**63, 90, dtype=np.uint64)
+        y = np.concatenate([x[:80], rng.integers(0, 2**63, 10, dtype=np.uint64)])
+        keys = fuzzy_lines.bands(np.concatenate([x, y]), np.array([0, 90]))
+        lost += not (keys[0] == keys[1]).any()
+    assert lost <= 16
 
 
 def test_lines_of_empty_table(none):
     assert fuzzy_lines.digest(none).isEmpty() and fuzzy_lines.deduplicate(none).isEmpty()
 
 
-def test_leaves_compare_pairs_whose_tokens_agree_little(spark):
+def test_crowded_bands_are_found(spark):
+    rows = spark.createDataFrame([([i % 3, 10 + i],) for i in range(60)], "keys array<long>").coalesce(2)
+    assert sorted((r.key, r.c) for r in fuzzy_lines.crowded(rows, 19).collect()) == [(0, 20), (1, 20), (2, 20)]
+
+
+def test_nodes_compare_pairs_whose_tokens_agree_little(spark):
     """At the threshold, fewer pairs are lost to the token filter than to all trees."""
     lost = sum(math.comb(64, i) * 0.8**i * 0.2 ** (64 - i) for i in range(chosen_path.agree(80)))
     assert lost < 0.06**4
-    a, b = np.zeros(64, "<u2"), np.array([0] * 36 + [1] * 28, "<u2")
-    rows = [(1, i, i, 100, bytearray(t.tobytes())) for i, t in ((1, a), (2, b))]
-    leaf = spark.createDataFrame(rows, "key long, id long, comp long, n long, tokens binary").coalesce(1)
-    assert [(r.a, r.b) for r in chosen_path.leaf_pairs(leaf, 80, False).collect()] == [(1, 2)]
+    a, b, c = bytearray(64), bytearray([0] * 36 + [1] * 28), bytearray([0] * 30 + [2] * 34)
+    rows = [(1, i, i, 100, t) for i, t in ((1, a), (2, b))] + [(2, i, i, 100, t) for i, t in ((1, a), (2, b), (3, c))] + [(3, 1, 1, 100, a), (3, 2, 1, 100, b)]
+    found = chosen_path.clusters(spark.createDataFrame(rows, "key long, id long, comp long, n long, near binary"), 80).collect()
+    assert sorted(r.id for r in found) == [1, 2] and len({r.gid for r in found}) == 1
+
+
+def test_pairs_at_the_threshold_meet():
+    """Trees bring alike token rows together as often as the docstring says: 0.9 at the least."""
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 2**16, (500, 64)).astype("<u2")
+    y = np.where(rng.random((500, 64)) < 0.8, x, rng.integers(0, 2**16, (500, 64))).astype("<u2")
+    met = np.zeros(500, bool)
+    for rows, node, _ in chosen_path.paths(np.concatenate([x, y]), chosen_path.TREES, chosen_path.DEPTH):
+        a, b = {}, {}
+        for r, k in zip(rows.tolist(), node.tolist(), strict=True):
+            (a if r < 500 else b).setdefault(r % 500, set()).add(k)
+        for r in a:
+            met[r] |= bool(a[r] & b.get(r, set()))
+    assert met.mean() > 0.98

@@ -1,21 +1,24 @@
 """Near-duplicates by a chosen-path set similarity join.
 
 A document is the set of its distinct ``width``-word shingles (lower-cased ASCII), hashed to 64 bits; equal sets are one class. Each
-class carries ``COORDINATES`` minwise tokens. In a tree, a node chooses two of the tokens at random and sends every class to
-the two children named by its own values: a pair with similarity s stays together in a child with probability s, so pairs
-at the threshold survive as a branching process while others part quickly. Nodes of at most ``LEAF`` classes are compared
-pair by pair; larger ones branch on. ``TREES`` independent trees bring the recall at the threshold to ``1 - 0.06^4`` or better.
-Of the pairs in a leaf, those whose 64 tokens agree in fewer than the threshold's mean less ``DEVIATIONS`` standard deviations (35
-at 0.8) are not confirmed. All trees share the tokens, so no tree finds such a pair; at the threshold it is one in 800,000.
-
-Links are confirmed on the full sets, so no false link remains. Long chains of one tree (deep nodes) come first and link the large
-groups of copies, then the roots of large nodes do; what is in one component already is never compared again, which keeps groups
-of any size linear. Large nodes with few outsiders are compared at once, outsiders against all; those that stay large with many
-components at the deepest level are compared outsiders against members in blocks (``cross_pairs``).
+class carries ``COORDINATES`` minwise tokens. In a tree, a node chooses a token, and a second one in ``SECOND`` of 256 nodes, and
+sends every class to the children named by its own values: a pair with similarity s stays together in a child with
+probability s, so pairs at the threshold survive as a branching process while others part quickly. A class follows 1.5 paths
+a level, 3.4 in a tree of the first ``DEPTH`` levels. ``TREES`` independent trees bring the recall of a pair at the threshold to
+``1 - 0.24^4``, 0.997; alike texts have more pairs than one.
+
+Nodes of at most ``MOST_ROWS`` classes are compared exhaustively. The tokens split a node into clusters first: pairs whose 64 tokens
+agree in fewer than the threshold's mean less ``DEVIATIONS`` standard deviations (35 at 0.8; one in 800,000 pairs at the threshold) are
+taken for different. A cluster is named by its ids, so that the many nodes which hold the same texts are one group, and the
+full sets of a group are compared (``groups.linked``); no false link remains, and links stay linear in the rows.
+
+Larger nodes are first dealt into blocks that share some rows (``hub_blocks``), which links the bulk of a large group of copies. Those
+that still hold several components branch on, level by level, with nodes of one component left out; what is larger than a task
+at the deepest level is compared in blocks, all rows outside the largest component against all others.
 
 Texts without words have the empty set and no links; a null text has no words. Fewer words than ``width`` form one shingle. Rows with
 null doc_id link with nothing, keep a null component and are kept. Rows with equal doc_id count as one node. An empty table
-gives an empty result. Only doc_id and text are read; extra columns pass through ``deduplicate``.
+gives an empty result. Only doc_id and text are read; extra columns pass through ``deduplicate`` whatever their names.
 """
 
 from __future__ import annotations
@@ -28,13 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.components import components, confirm, cross_pairs
+from tidewell.llm import groups
+from tidewell.llm.components import components
 from tidewell.llm.scratch import drop, keep
 
 WIDTH, PERCENT = 5, 80
-COORDINATES, TREES, CHAINS, CHAIN_DEPTH = 64, 4, 2, 8
-START_DEPTH, MOST_DEPTH, LEAF, MOST_IN_TASK = 2, 9, 48, 1024
-#: Standard deviations below the threshold's mean down to which tokens of a pair in a leaf may agree.
+COORDINATES, TREES, DEPTH, MOST_DEPTH, SECOND = 64, 4, 3, 10, 128
+#: Standard deviations below the threshold's mean down to which tokens of a pair may agree.
 DEVIATIONS = 5
 #: Ids up to which their table is sent to every executor (8 bytes each) instead of shuffling the texts.
 BROADCAST_IDS = 500_000
@@ -97,15 +100,30 @@ def _choose(node: np.ndarray, used: np.ndarray, which: int) -> np.ndarray:
     return c
 
 
-def step(node: np.ndarray, used: np.ndarray, tokens: np.ndarray, which: int):
-    """The child number ``which`` (0 or 1) of each row's node, and the coordinates used so far."""
-    c = _choose(node, used, 0)
-    if which:
-        c = _choose(node, used | (_U(1) << c), 1)
-    value = tokens[np.arange(len(tokens)), c.astype(np.int64)].astype(np.uint64)
-    with np.errstate(over="ignore"):
-        child = mix(mix(node + c * _U(0xA24BAED4963EE407)) ^ (value * _U(0x9FB21C651E98DF25)) + _U(which))
-    return child, used | (_U(1) << c)
+def children(node: np.ndarray, used: np.ndarray, tokens: np.ndarray):
+    """(rows, node, used) of the first and the second children of some rows' nodes; coordinates of a path do not repeat."""
+
+    def child(rows, c, which):
+        value = tokens[rows, c.astype(np.int64)].astype(np.uint64)
+        with np.errstate(over="ignore"):
+            name = mix(mix(node[rows] + c * _U(0xA24BAED4963EE407)) ^ (value * _U(0x9FB21C651E98DF25)) + _U(which))
+        return rows, name, used[rows] | (_U(1) << c)
+
+    rows = np.arange(len(node))
+    first = _choose(node, used, 0)
+    yield child(rows, first, 0)
+    rows = np.flatnonzero((mix(node ^ _U(0x5EC0)) & _U(255)) < _U(SECOND))
+    if len(rows):
+        yield child(rows, _choose(node[rows], used[rows] | (_U(1) << first[rows]), 1), 1)
+
+
+def paths(tokens: np.ndarray, trees: int, depth: int):
+    """(rows, node, used) of the nodes at ``depth`` of every tree that some classes reach."""
+    for tree in range(trees):
+        level = [(np.arange(len(tokens)), np.full(len(tokens), mix(_U(tree + 1)), np.uint64), np.zeros(len(tokens), np.uint64))]
+        for _ in range(depth):
+            level = [(rows[at], name, now) for rows, node, used in level for at, name, now in children(node, used, tokens[rows])]
+        yield from level
 
 
 def _tokens(column: pa.Array) -> np.ndarray:
@@ -145,62 +163,58 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, members binary")
 
 
-def links(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The candidate pairs that the full sets confirm."""
-    pairs = keep(pairs, "pairs")
-    ids = keep(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
-    sets = keep(sets_of(docs, ids, width), "sets")
-    out = keep(confirm(pairs, sets, percent), "links")
-    drop(sets)
-    return out
+def _names(key: np.ndarray, columns: list[pa.Array], rows: np.ndarray) -> list[pa.Array]:
+    at = pa.array(rows)
+    return [_signed(key), *[c.take(at) for c in columns]]
 
 
-def deep_stars(classes: DataFrame, trees: int) -> DataFrame:
-    """Pairs of each class with the smallest class of its deep nodes: long chains of first or second children."""
+def roots(classes: DataFrame, trees: int, depth: int) -> DataFrame:
+    """(key, id, comp, n, near) of every class at its nodes; near has the low byte of each token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t = _tokens(batch.column(1))
-            for tree in range(trees):
-                for chain in range(CHAINS):
-                    node, used = np.full(len(t), mix(_U(tree + 1)), np.uint64), np.zeros(len(t), np.uint64)
-                    for _ in range(CHAIN_DEPTH):
-                        node, used = step(node, used, t, chain)
-                    yield pa.RecordBatch.from_pydict({"key": _signed(node + _U(chain)), "id": batch.column(0)})
+            t = _tokens(batch.column(3))
+            near = pa.array([x.tobytes() for x in t.astype(np.uint8)], pa.binary())
+            for rows, node, _ in paths(t, trees, depth):
+                yield pa.RecordBatch.from_arrays(_names(node, [*batch.columns[:3], near], rows), names=["key", "id", "comp", "n", "near"])
 
-    rows = classes.select("id", "tokens").mapInArrow(run, "key long, id long")
-    low = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("high")).where("a <> high").select("key", "a")
-    return rows.join(low, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    return classes.select("id", F.col("id").alias("comp"), "n", "tokens").mapInArrow(run, "key long, id long, comp long, n long, near binary")
 
 
-def _roots(classes: DataFrame, trees: int, depth: int) -> DataFrame:
-    """(key, id, comp, n, used, tokens) of every class at all nodes of the first levels."""
+def branches(classes: DataFrame, trees: int, depth: int) -> DataFrame:
+    """(key, id, n, used, tokens): like ``roots``, with all that deeper levels need."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, 2000):
-                batch = whole.slice(i, 2000)
-                t = _tokens(batch.column(3))
-                for tree in range(trees):
-                    level = [(np.full(len(t), mix(_U(tree + 1)), np.uint64), np.zeros(len(t), np.uint64))]
-                    for _ in range(depth):
-                        level = [step(node, used, t, which) for node, used in level for which in (0, 1)]
-                    for node, used in level:
-                        yield pa.RecordBatch.from_arrays([_signed(node), *batch.columns[:3], _signed(used), batch.column(3)], names=["key", "id", "comp", "n", "used", "tokens"])
+        for batch in batches:
+            for rows, node, used in paths(_tokens(batch.column(2)), trees, depth):
+                key, *rest = _names(node, list(batch.columns), rows)
+                yield pa.RecordBatch.from_arrays([key, *rest[:2], _signed(used), rest[2]], names=["key", "id", "n", "used", "tokens"])
+
+    return classes.select("id", "n", "tokens").mapInArrow(run, "key long, id long, n long, used long, tokens binary")
+
+
+def deeper(rows: DataFrame) -> DataFrame:
+    """The rows of ``branches`` one level down."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, used = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 3))
+            for at, name, now in children(node, used, _tokens(batch.column(4))):
+                key, ids, n, tokens = _names(name, [batch.column(1), batch.column(2), batch.column(4)], at)
+                yield pa.RecordBatch.from_arrays([key, ids, n, _signed(now), tokens], names=["key", "id", "n", "used", "tokens"])
+
+    return rows.mapInArrow(run, "key long, id long, n long, used long, tokens binary")
 
-    return classes.select("id", "comp", "n", "tokens").mapInArrow(run, "key long, id long, comp long, n long, used long, tokens binary")
 
+def nearer(rows: DataFrame) -> DataFrame:
+    """(key, id, comp, n, near) of (key, id, comp, n, tokens)."""
 
-def _children(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t = _tokens(batch.column(5))
-            node, used = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 4))
-            for which in (0, 1):
-                child, now = step(node, used, t, which)
-                yield pa.RecordBatch.from_arrays([_signed(child), *batch.columns[1:4], _signed(now), batch.column(5)], names=["key", "id", "comp", "n", "used", "tokens"])
+            near = pa.array([x.tobytes() for x in _tokens(batch.column(4)).astype(np.uint8)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], near], names=["key", "id", "comp", "n", "near"])
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.select("key", "id", "comp", "n", "tokens").mapInArrow(run, "key long, id long, comp long, n long, near binary")
 
 
 def agree(percent: int, deviations: int = DEVIATIONS) -> int:
@@ -209,66 +223,62 @@ def agree(percent: int, deviations: int = DEVIATIONS) -> int:
     return max(1, int(COORDINATES * s - deviations * (COORDINATES * s * (1 - s)) ** 0.5))
 
 
-def leaf_pairs(rows: DataFrame, percent: int, best: bool, deviations: int = DEVIATIONS) -> DataFrame:
-    """Pairs within each node that differ in component, fit in size, and agree in enough tokens; nodes fit in a task.
-
-    With ``best``, of the pairs between two components of a node only the one that agrees most: one link joins them, and
-    what this leaves apart is listed whole by a second call.
-    """
-    least = agree(percent, deviations)
-
-    def compare(key, ids, comp, n, t):
-        lens = np.diff(np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key)))
-        left = np.repeat(lens, lens) - (np.arange(len(key)) - np.repeat(np.cumsum(lens) - lens, lens)) - 1
-        found = [np.zeros((0, 6), np.int64)]
-        for d in range(1, int(lens.max(initial=1))):
-            i = np.flatnonzero(left >= d)
-            j = i + d
-            small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            ok = (comp[i] != comp[j]) & (100 * small >= percent * large)
-            i, j = i[ok], j[ok]
-            same = (t[i] == t[j]).sum(1)
-            ok = same >= least
-            i, j, same = i[ok], j[ok], same[ok]
-            found.append(np.stack([key[i], np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j]), -same, np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1))
-        found = np.concatenate(found)
-        more = np.zeros(len(found), np.int64)
-        if best and len(found):
-            found = found[np.lexsort(found.T[::-1])]
-            first = np.flatnonzero(np.concatenate([[True], (found[1:, :3] != found[:-1, :3]).any(1)]))
-            more = (np.diff(np.append(first, len(found))) > 1).astype(np.int64)
-            found = found[first]
-        return np.column_stack([found[:, 4:], found[:, 0], more])
+def node_clusters(ids, comp, n, near, percent: int) -> list[np.ndarray]:
+    """Places of the rows of a node, by clusters of likely pairs that hold several components."""
+    k, least = len(ids), agree(percent)
+    near = near.reshape(k, COORDINATES)
+    likely = np.zeros((k, k), bool)
+    for i in range(0, k, 64):
+        likely[i : i + 64] = (near[i : i + 64, None] == near[None]).sum(2, dtype=np.uint8) >= least
+    likely &= 100 * np.minimum(n[:, None], n[None]) >= percent * np.maximum(n[:, None], n[None])
+    out, left = [], np.ones(k, bool)
+    for start in range(k):
+        if left[start]:
+            left[start], inside, edge = False, [np.array([start])], np.array([start])
+            while len(edge := np.flatnonzero(likely[edge].any(0) & left)):
+                left[edge] = False
+                inside.append(edge)
+            inside = np.sort(np.concatenate(inside))
+            if len(np.unique(comp[inside])) > 1:
+                out.append(inside)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, seen = None, set()
-
-        def listed(found):
-            """Pairs that this task has not given yet, and one row at least of each node that has more than its best pairs."""
-            new = []
-            for a, b, key, more in found.tolist():
-                if more or (a, b) not in seen:
-                    new.append((a, b, key, bool(more)))
-                    seen.add((a, b))
-            if len(seen) > _CACHE:
-                seen.clear()
-            return pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in new], pa.int64()), "b": pa.array([p[1] for p in new], pa.int64()), "key": pa.array([p[2] for p in new], pa.int64()), "more": pa.array([p[3] for p in new], pa.bool_())})
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = [*(batch.column(i).to_numpy() for i in range(4)), _tokens(batch.column(4))]
-            if held is not None:
-                now = [np.concatenate([a, b]) for a, b in zip(held, now, strict=True)]
-            cut = int(np.searchsorted(now[0], now[0][-1]))
-            held = [x[cut:] for x in now]
-            if cut:
-                yield listed(compare(*[x[:cut] for x in now]))
-        if held is not None:
-            yield listed(compare(*held))
-
-    dealt = rows.select("key", "id", "comp", "n", "tokens").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "a long, b long, key long, more boolean")
+def clusters(rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct (gid, id) of the clusters in the nodes of ``rows`` (key, id, comp, n, near); nodes fit in a task."""
+    least = agree(percent)
+
+    def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+        near = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, COORDINATES)
+        return [*(batch.column(i).to_numpy() for i in range(4)), near]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, ids, comp, n, near in groups.whole_keys(batches, columns):
+            at = groups.runs(key)
+            size, found = np.diff(at), []
+            # Most nodes have two classes: all of them at once.
+            i = at[:-1][size == 2]
+            j = i + 1
+            ok = ((near[i] == near[j]).sum(1) >= least) & (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            found += [np.sort(ids[[x, x + 1]]) for x in i[ok]]
+            for x, y in zip(at[:-1][size > 2], at[1:][size > 2], strict=True):
+                for inside in node_clusters(ids[x:y], comp[x:y], n[x:y], near[x:y], percent):
+                    by_id = x + inside[np.argsort(ids[x + inside], kind="stable")]
+                    found += groups.chunks(ids[by_id], n[by_id])
+            if found:
+                gids = [groups.group_id(g) for g in found]
+                yield pa.RecordBatch.from_pydict({"gid": pa.array(np.repeat(np.array(gids, np.int64), [len(g) for g in found])), "id": pa.array(np.concatenate(found))})
+
+    dealt = rows.select("key", "id", "comp", "n", "near").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "gid long, id long").distinct()
+
+
+def links(rows: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) within the nodes of ``rows``, confirmed on full sets."""
+    found = keep(clusters(rows, percent), "clusters")
+    out = keep(groups.linked(found, sets_of(docs, found.select("id").distinct(), width), percent), "links")
+    drop(found)
+    return out
 
 
 def placed(classes: DataFrame, comp: DataFrame) -> DataFrame:
@@ -276,66 +286,35 @@ def placed(classes: DataFrame, comp: DataFrame) -> DataFrame:
     return classes.drop("comp").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
 
 
-def majors(big: DataFrame, leaf: int = LEAF) -> DataFrame:
-    """Per node of several components the largest one, whether few rows are outside it, and the blocks to deal its rows in."""
-    per = big.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    top = per.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    few = F.col("all") - F.col("top")["n"] <= 4 * leaf
-    return keep(top.select("key", F.col("top")["comp"].alias("major"), few.alias("few"), F.ceil(F.col("all") / MOST_IN_TASK).cast("int").alias("blocks")), "node-majors")
-
-
-def in_blocks(big: DataFrame, top: DataFrame) -> DataFrame:
-    """Rows of nodes with few outsiders: the largest component dealt into blocks, the outsiders copied to each of them."""
-    rows = big.join(top.where("few").select("key", "major", "blocks"), "key")
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    own = F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("block", F.explode(F.when(F.col("comp") == F.col("major"), own).otherwise(every)))
-    return rows.withColumn("key", F.when(F.col("blocks") > 1, F.xxhash64("key", "block")).otherwise(F.col("key"))).select(*big.columns)
-
-
-def search(classes: DataFrame, docs: DataFrame, width: int, percent: int = PERCENT, trees: int = TREES, leaf: int = LEAF, start: int = START_DEPTH, most: int = MOST_DEPTH) -> DataFrame:
+def search(classes: DataFrame, docs: DataFrame, width: int, percent: int = PERCENT, trees: int = TREES, depth: int = DEPTH, most: int = groups.MOST_ROWS, deepest: int = MOST_DEPTH) -> DataFrame:
     """Confirmed links (a, b) between classes (id, n, tokens): enough of them to connect whatever is connected."""
-    found = links(deep_stars(classes, trees), docs, width, percent)
+    columns = ["key", "id", "comp", "n", "near"]
+    rows = roots(classes, trees, depth)
+    large = keep(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > most), "large-nodes")
+    if large.isEmpty():
+        return links(rows, docs, width, percent)
+    small = rows.join(large, "key", "left_anti")
+    found = links(small.union(groups.hub_blocks(rows.join(large, "key"), most).select(*columns)), docs, width, percent)
     comp = components(found)
-    rows, depth, leaves, rest = _roots(keep(placed(classes, comp), "placed"), trees, start), start, [], []
+    nodes = keep(branches(classes, trees, depth).join(large.select("key"), "key", "left_semi"), "branches")
+    leaves = []
     while True:
-        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        large = keep(sizes.where(F.col("c") > leaf).select("key", (F.col("lo") != F.col("hi")).alias("mixed")), "large-nodes")
-        leaves.append(rows.join(large, "key", "left_anti"))
-        big = keep(rows.join(large.where("mixed").select("key"), "key", "left_semi"), "mixed-nodes")
-        if big.isEmpty():
+        rows = placed(nodes, comp)
+        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        sizes = keep(sizes.select("key", "c"), "mixed-nodes")
+        rows = rows.join(sizes, "key")
+        leaves.append(rows.where(F.col("c") <= most).select("key", "id", "comp", "n", "tokens"))
+        large = rows.where(F.col("c") > most)
+        if depth >= deepest:
+            leaves.append(groups.outsider_blocks(large.select("key", "id", "comp", "n", "tokens"), most))
             break
-        if depth == start:
-            # Whatever is alike to the root of its node's largest component joins it before anything else happens.
-            top = majors(big, leaf)
-            stars = big.join(top.select("key", "major"), "key").where("comp <> major").select(F.least("major", "id").alias("a"), F.greatest("major", "id").alias("b")).distinct()
-            found = keep(found.union(links(stars, docs, width, percent)), "links")
-            comp = components(found)
-            big = keep(placed(big, comp).select(*rows.columns), "mixed-nodes")
-        top = majors(big, leaf)
-        leaves.append(in_blocks(big, top))
-        hard = keep(big.join(top.where("NOT few").select("key"), "key", "left_semi"), "hard-nodes")
-        if hard.isEmpty():
+        if sizes.where(F.col("c") > most).isEmpty():
             break
-        if depth >= most:
-            rest.append(cross_pairs(hard.select("key", "id", "comp")))
-            break
-        rows, depth = keep(_children(hard), "nodes"), depth + 1
-
-    def union(frames):
-        return frames[0] if len(frames) == 1 else frames[0].union(union(frames[1:]))
-
-    def compared(best):
-        return union([leaf_pairs(placed(x, comp).select("key", "id", "comp", "n", "tokens"), percent, best) for x in leaves])
-
-    first = keep(compared(True), "best-pairs")
-    open_ = keep(first.where("more").select("key").distinct(), "open-nodes")
-    found = keep(found.union(links(first.select("a", "b").distinct(), docs, width, percent)), "links")
-    comp = components(found)
-    # Nodes where components had several pairs and may still be apart are listed whole; what is joined by now is not.
-    leaves = [x.join(open_, "key", "left_semi") for x in leaves]
-    pairs = union([compared(False).select("a", "b"), *rest]).distinct()
-    return found.union(links(pairs, docs, width, percent))
+        nodes, depth = keep(deeper(large.select("key", "id", "n", "used", "tokens")), "branches"), depth + 1
+    rest = leaves[0]
+    for leaf in leaves[1:]:
+        rest = rest.union(leaf)
+    return found.union(links(nearer(rest), docs, width, percent))
 
 
 def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, **options) -> DataFrame:
@@ -344,9 +323,10 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, **options)
     named = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     # The group of a print has one value of tokens and n_shingles, so max takes it.
     classes = keep(named.groupBy("print").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"), F.max("tokens").alias("tokens")), "classes")
-    comp = components(search(classes, docs, width, percent, **options))
-    roots = classes.select("print", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").select("print", F.coalesce("root", "id").alias("root"))
-    out = rows.select("doc_id", "n_shingles", "print").join(roots, "print", "left")
+    found = keep(search(classes, docs, width, percent, **options).distinct(), "all-links")
+    comp = components(found)
+    first = classes.select("print", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").select("print", F.coalesce("root", "id").alias("root"))
+    out = rows.select("doc_id", "n_shingles", "print").join(first, "print", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("root")))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
@@ -356,4 +336,6 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     gone = keep(link(docs, width, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    # The row is carried whole, so that its columns cannot clash.
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.struct(*docs.columns).alias("_row"))
+    return rows.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")

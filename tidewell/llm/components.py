@@ -1,119 +1,45 @@
-"""Connected components by distributed union-find, and exact confirmation of candidate pairs.
+"""Connected components by distributed union-find.
 
-``components`` hooks every node to its smallest neighbour, shortens the pointers, contracts the edges, and repeats on what is
-left; nodes at least halve in each round. Every round is a few joins on node ids whose skewed sides Spark splits, and its result
-is written to the shared folder, so a lost executor costs one round at most. Nothing is collected.
-
-``confirm`` compares the full sets of candidate pairs. The first side of a pair is sent once per block of its partners (salted by
-partner), so a document with millions of partners is spread over many tasks, and each task holds one set and a batch.
+In each round every node hooks to the neighbour (or itself) of the lowest rank, ranks being hashes of the node and the round, takes
+that one's choice as its own, and the edges are contracted accordingly. Ranks are drawn anew in each round, so chains of any order
+shrink by a constant factor a round on average. A round is a few joins on node ids whose skewed sides Spark splits, and its
+result is written to the shared folder, so a lost executor costs one round at most. Nothing is collected.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.scratch import drop, keep
 
-PARTNERS = 256
+
+def _canonical(edges: DataFrame) -> DataFrame:
+    """Distinct edges (a, b) with a below b; null ends and loops are left out."""
+    return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has an edge (a, b); root is the smallest node of the component."""
-    edges = keep(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    edges = keep(_canonical(edges), "edges")
     maps: list[DataFrame] = []
     while not edges.isEmpty():
-        both = edges.union(edges.select("b", "a"))
-        hooked = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("up"))
-        hooked = keep(hooked, "hooked")
-        again = hooked.select(F.col("node").alias("up"), F.col("up").alias("upper"))
-        parent = keep(hooked.join(again, "up").select("node", F.col("upper").alias("root")), "parents")
-        drop(hooked)
+        rank = F.xxhash64(F.lit(len(maps)), F.col("b"))
+        near = edges.union(edges.select("b", "a")).union(edges.select("a", "a")).union(edges.select("b", "b"))
+        hooked = keep(near.groupBy(F.col("a").alias("node")).agg(F.min(F.struct(rank.alias("rank"), F.col("b"))).alias("up")).select("node", F.col("up.b").alias("up")), "hooked")
+        parent = keep(hooked.join(hooked.select(F.col("node").alias("up"), F.col("up").alias("root")), "up").select("node", "root"), "parents")
         a, b = (parent.select(F.col("node").alias(c), F.col("root").alias(f"{c}2")) for c in "ab")
-        left = edges.join(a, "a").join(b, "b").where("a2 <> b2")
-        smaller = keep(left.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), "edges")
-        drop(edges)
+        smaller = keep(_canonical(edges.join(a, "a").join(b, "b").select(F.col("a2").alias("a"), F.col("b2").alias("b"))), "edges")
+        drop(hooked, edges)
         edges = smaller
         maps.append(parent)
     if not maps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    out = maps.pop()
-    while maps:
-        lower = maps.pop()
+    out = maps[-1]
+    for lower in reversed(maps[:-1]):
         out = lower.join(out.select(F.col("node").alias("root"), F.col("root").alias("final")), "root", "left").select("node", F.coalesce("final", "root").alias("root"))
-    return keep(out, "components")
-
-
-def stored(members: bytes) -> np.ndarray:
-    """A set kept as sorted distinct 64-bit values, little-endian."""
-    return np.frombuffer(members, "<u8")
-
-
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int = 80, to_set: Callable[[bytes], np.ndarray] = stored) -> DataFrame:
-    """The pairs (a, b) of distinct ids whose sets have ``100 * intersection >= percent * union``.
-
-    ``sets`` has (id, members); ``to_set`` makes sorted distinct values of members, which are what travels: the values
-    themselves, or a text where that is shorter than its set. Ids may have several sets; any may match.
-    """
-    pairs = pairs.where("a <> b").select("a", "b")
-    salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("salts"))
-    right = pairs.join(salts, "a").join(sets.select(F.col("id").alias("b"), "members"), "b")
-    right = right.select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("b"), "members")
-    left = sets.join(salts.withColumnRenamed("a", "id"), "id").select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "members")
-    dealt = left.union(right).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own = None, []
-        for batch in batches:
-            out_a, out_b = [], []
-            for a, salt, b, members in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if (a, salt) != at:
-                    at, own = (a, salt), []
-                members = to_set(members)
-                if b is None:
-                    own.append(members)
-                elif any(alike(x, members, percent) for x in own):
-                    out_a.append(a)
-                    out_b.append(b)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
-
-    return dealt.mapInArrow(run, "a long, b long")
-
-
-def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Whether two sorted distinct arrays reach the similarity; empty sets never do."""
-    if len(x) > len(y):
-        x, y = y, x
-    if not len(x) or 100 * len(x) < percent * len(y):
-        return False
-    at = np.searchsorted(y, x)
-    same = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-    return 100 * same >= percent * (len(x) + len(y) - same)
-
-
-def cross_pairs(members: DataFrame, block: int = 64, most: int = 512) -> DataFrame:
-    """Pairs (a, b) of ids in one bucket (key, id, comp) that are in different components, all of them, in bounded groups.
-
-    A bucket's largest component is not compared with itself: its members only meet the outsiders. Both are dealt into blocks of
-    about ``block`` ids, and each pair of blocks is a group of its own, so no group exceeds some ``most`` rows.
-    """
-    per = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    stats = per.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    stats = stats.select("key", F.col("top")["comp"].alias("major"), F.ceil(F.col("top")["n"] / block).cast("int").alias("p"), F.ceil((F.col("all") - F.col("top")["n"]) / block).cast("int").alias("q"))
-    rows = members.join(stats, "key").withColumn("out", F.col("comp") != F.col("major"))
-    own = F.pmod(F.xxhash64("id"), F.when(F.col("out"), F.col("q")).otherwise(F.col("p"))).cast("int")
-    rows = rows.withColumn("own", own)
-    # Outsider block i meets outsider blocks j (the pair named with the smaller first) and major blocks.
-    with_out = F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j"), F.lit(False).alias("m")))
-    with_major = F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda j: F.struct(F.col("own").alias("i"), j.alias("j"), F.lit(True).alias("m")))
-    of_major = F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"), F.lit(True).alias("m")))
-    groups = rows.select("key", "id", "comp", "out", F.explode(F.when(F.col("out"), F.concat(with_out, with_major)).otherwise(of_major)).alias("g"))
-    listed = groups.groupBy("key", "g").agg(F.collect_list(F.struct("id", "comp", "out")).alias("v"))
-    x = listed.select("g", "v", F.explode("v").alias("x"))
-    meets = F.filter("v", lambda y: (y["comp"] != F.col("x")["comp"]) & F.when(F.col("g")["m"], ~y["out"]).otherwise(y["id"] > F.col("x")["id"]))
-    x = x.where(F.col("x")["out"]).select(F.col("x")["id"].alias("i"), F.explode(meets).alias("y"))
-    return x.select(F.least("i", F.col("y")["id"]).alias("a"), F.greatest("i", F.col("y")["id"]).alias("b")).distinct()
+    out = keep(out, "leaders")
+    least = out.groupBy("root").agg(F.min("node").alias("least"))
+    named = keep(out.join(least, "root").select("node", F.col("least").alias("root")), "components")
+    drop(edges, out, *maps)
+    return named

@@ -2,18 +2,19 @@
 
 A line (between line feeds, with a word in it) is normalised by lower-casing ASCII and collapsing white space; its set has the
 distinct ``SHINGLE``-character shingles. Signatures have ``BANDS`` bands of ``ROWS`` minwise values; lines that share a band are
-candidates (recall 99.6 % at a similarity of 0.8, 99.98 % at 0.85 per pair). Candidates are confirmed on the full sets, and
-distributed union-find makes components. The first occurrence (smallest doc_id, then line number) of a component stays.
-
-Equal lines share a 64-bit hash and are one node. In a band all lines first meet the band's smallest; lines that this
-has joined need no further comparison, and whatever is still apart meets in bounded blocks (``cross_pairs``), so groups
-of any size cost in proportion to their size. Such later candidates need minwise tokens that agree as far as three standard
-deviations below the threshold; the best pair of two components goes first, the others only if it does not join them.
-
-Lines without a word are never removed and never compared. Null text has no lines; rows with null doc_id come after all others;
-rows with equal doc_id are one document: equal lines at the same place stay or go alike. A document that loses all
-its lines is dropped by ``deduplicate``; documents without any line with a word stay. Empty tables give empty results; extra
-columns pass through.
+candidates (recall 98.6 % at a similarity of 0.8, 99.9 % at 0.85 per pair). The lines of a band, cut where set sizes differ too
+much, are a group named by its lines, so that bands which hold the same lines are compared once, on the full sets
+(``groups.linked``); distributed union-find makes components. The first occurrence of a component stays: the smallest doc_id, then
+line number; null doc_ids come last.
+
+Equal lines share a 64-bit hash and are one node. Bands of more lines than fit in a task are dealt into blocks that share some
+lines, which links the bulk of them; if several components remain, those outside the largest meet all others in blocks. Such
+bands are found from the keys that occur twice within a task; what stays below that is at most a row of each task.
+
+Lines without a word are never removed and never compared. Null text has no lines. A document is a doc_id with a text: rows equal in
+both go alike, several texts of one doc_id (or of none) are separate documents, in the order of their hashes. A document that
+loses all its lines is dropped by ``deduplicate``; documents without any line with a word stay. Empty tables give empty results;
+extra columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -22,26 +23,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm import chosen_path
-from tidewell.llm.components import components, confirm, cross_pairs
-from tidewell.llm.scratch import keep
+from tidewell.llm import groups
+from tidewell.llm.components import components
+from tidewell.llm.scratch import drop, keep
 from tidewell.llm.words import SEPARATORS
 
 SHINGLE, PERCENT = 5, 80
-BANDS, ROWS = 14, 5
-#: Standard deviations below the threshold that tokens of later candidates may agree in.
-AGREE_DEVIATIONS = 3
+BANDS, ROWS = 14, 6
 BROADCAST_LINES = 500_000
-LAST = 2**63 - 1
 _rng = np.random.default_rng(0x11E5)
 _MUL = _rng.integers(0, 2**31, BANDS * ROWS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _XOR = _rng.integers(0, 2**32, BANDS * ROWS).astype(np.uint32)
 _FOLD = _rng.integers(0, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SEEN = 2_000_000
+#: Lines that a task remembers, to give each once; characters that are hashed at a time.
+_SEEN, _AT_ONCE = 2_000_000, 64_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -50,150 +49,212 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-def shingles(line: str) -> np.ndarray:
-    """Hashes of all character shingles of a line, in their order; a shorter line is one shingle."""
-    text = b" ".join(line.encode().lower().split()).decode()
-    c = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
-    n = min(SHINGLE, len(c))
-    out = np.full(len(c) - n + 1, n, np.uint64)
+def normal(line: str) -> str:
+    return b" ".join(line.encode().lower().split()).decode()
+
+
+def shingled(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the character shingles of normalised lines, one line after the other, and where each line starts.
+
+    A line shorter than a shingle is one shingle; it is filled up with a code that no text has.
+    """
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    if (size < SHINGLE).any():
+        codes = np.concatenate([np.pad(np.frombuffer(t.encode("utf-32-le"), "<u4"), (0, max(0, SHINGLE - len(t))), constant_values=0xFFFFFFFF) for t in texts])
+        size = np.maximum(size, SHINGLE)
+    else:
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+    codes = codes.astype(np.uint64)
+    out = np.zeros(len(codes) - SHINGLE + 1, np.uint64)
     with np.errstate(over="ignore"):
-        for j in range(n):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + c[j : j + len(out)]
-    return _mix(out)
+        for j in range(SHINGLE):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + codes[j : j + len(out)]
+    count = size - SHINGLE + 1
+    start = np.cumsum(count) - count
+    inside = np.repeat(np.cumsum(size) - size - start, count) + np.arange(count.sum())
+    return _mix(out[inside]), start
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    x = (s >> np.uint64(32)).astype(np.uint32)
-    best = np.full(len(_MUL), 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(x), 1024):
-        best = np.minimum(best, ((x[i : i + 1024, None] ^ _XOR) * _MUL).min(0))
-    return best
+def line_set(line: bytes) -> np.ndarray:
+    """Sorted distinct shingles of a line."""
+    return np.unique(shingled([normal(line.decode())])[0])
 
 
-def bands(signatures: np.ndarray) -> np.ndarray:
+def bands(hashes: np.ndarray, start: np.ndarray) -> np.ndarray:
     """A 64-bit key per line and band."""
+    x = (hashes >> np.uint64(32)).astype(np.uint32)
+    own = np.empty_like(x)
+    out = np.zeros((len(start), BANDS), np.uint64)
     with np.errstate(over="ignore"):
-        v = signatures.reshape(-1, BANDS, ROWS).astype(np.uint64)
-        return _mix((v * _FOLD).sum(2) * np.uint64(BANDS) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+        for k in range(BANDS * ROWS):
+            np.bitwise_xor(x, _XOR[k], out=own)
+            np.multiply(own, _MUL[k], out=own)
+            out[:, k // ROWS] += np.minimum.reduceat(own, start).astype(np.uint64) * _FOLD[k % ROWS]
+        return _mix(out * np.uint64(BANDS) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
 def line_hash(line: Column) -> Column:
     return F.xxhash64(line)
 
 
+def document() -> list[Column]:
+    """What names a document: its doc_id, and a hash of its text."""
+    return [F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("version")]
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc, line_no, line, h) of every line with a word, numbered among all lines of its document."""
-    parts = F.split(F.coalesce("text", F.lit("")), "\n")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.posexplode(parts).alias("line_no", "line"))
+    """(doc, version, line_no, line, h) of every line with a word, numbered among all lines of its document."""
+    rows = docs.select(*document(), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
     return rows.where(F.trim("line", F.lit(SEPARATORS.replace("\n", ""))) != "").withColumn("h", line_hash(F.col("line")))
 
 
-def band_rows(lines: DataFrame) -> DataFrame:
-    """(key, id) per line and band; a task gives a line's once, however often it occurs there."""
+def signed(lines: DataFrame) -> DataFrame:
+    """(id, n, keys) of each line: its number of shingles and its band keys. A task gives a line once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            ids, sigs = [], []
+            ids, texts = [], []
             for h, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if h not in seen:
-                    if len(seen) > _SEEN:
-                        seen.clear()
                     seen.add(h)
                     ids.append(h)
-                    sigs.append(signature(shingles(line)))
-            if ids:
-                keys = bands(np.stack(sigs))
-                yield pa.RecordBatch.from_pydict({"key": pa.array(keys.ravel()), "id": pa.array(np.repeat(np.array(ids, np.int64), BANDS))})
+                    texts.append(normal(line))
+            if len(seen) > _SEEN:
+                seen.clear()
+            i = 0
+            while i < len(ids):
+                j, size = i, 0
+                while j < len(ids) and size < _AT_ONCE:
+                    size, j = size + len(texts[j]), j + 1
+                hashes, start = shingled(texts[i:j])
+                keys = pa.FixedSizeListArray.from_arrays(pa.array(bands(hashes, start).ravel()), BANDS).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), pa.array(np.diff(np.append(start, len(hashes))).astype(np.int32)), keys], names=["id", "n", "keys"])
+                i = j
 
-    return lines.select("h", "line").mapInArrow(run, "key long, id long")
+    return lines.select("h", "line").mapInArrow(run, "id long, n int, keys array<long>")
 
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, members) of the lines in ``ids``: their texts, an eighth of the size of their sets."""
-    if ids.count() <= BROADCAST_LINES:
-        ids = F.broadcast(ids)
-    rows = lines_of(docs).select(F.col("h").alias("id"), "line").join(ids, "id", "left_semi")
-    return rows.groupBy("id").agg(F.min("line").cast("binary").alias("members"))
+def crowded(lines: DataFrame, most: int) -> DataFrame:
+    """(key, c) of the bands that hold more rows than fit in a task, from the keys that a task has twice at least."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
 
-def line_set(line: bytes) -> np.ndarray:
-    return np.unique(shingles(line.decode()))
+        def counted():
+            key, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(key[n > 1]), pa.array(n[n > 1])], names=["key", "n"])
 
+        for batch in batches:
+            held.append(pc.list_flatten(batch.column(0)).to_numpy())
+            size += len(held[-1])
+            if size > _SEEN:
+                yield counted()
+                held, size = [], 0
+        if held:
+            yield counted()
+
+    return lines.select("keys").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("c")).where(F.col("c") > most)
 
-def signed(texts: DataFrame) -> DataFrame:
-    """(id, n, tokens) of the lines in ``texts``: set sizes and minwise tokens, to tell likely pairs before full sets meet."""
+
+def band_groups(rows: DataFrame) -> DataFrame:
+    """Distinct (gid, id) of the lines that share a band and may be alike by their sizes; rows are (key, id, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [line_set(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "n": pa.array([len(x) for x in sets], pa.int64()), "tokens": pa.array([chosen_path.minwise(x).tobytes() for x in sets], pa.binary())})
+        for key, n, ids in groups.whole_keys(batches, lambda b: [b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()]):
+            # Sorted by key, size and id: a run ends where the size grows by more than the threshold allows.
+            first = np.concatenate([[True], (key[1:] != key[:-1]) | (n[1:] != n[:-1]) | (ids[1:] != ids[:-1])])
+            key, n, ids = key[first], n[first].astype(np.int64), ids[first]
+            at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (100 * n[:-1] < PERCENT * n[1:]), [True]]))
+            found = []
+            for x, y in zip(at[:-1], at[1:], strict=True):
+                if y - x > 1:
+                    order = np.argsort(ids[x:y])
+                    found += groups.chunks(ids[x:y][order], n[x:y][order])
+            if found:
+                gids = [groups.group_id(g) for g in found]
+                yield pa.RecordBatch.from_pydict({"gid": pa.array(np.repeat(np.array(gids, np.int64), [len(g) for g in found])), "id": pa.array(np.concatenate(found))})
+
+    dealt = rows.select("key", "n", "id").repartition("key").sortWithinPartitions("key", "n", "id")
+    return dealt.mapInArrow(run, "gid long, id long").distinct()
 
-    return texts.select("id", "members").mapInArrow(run, "id long, n long, tokens binary")
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, members) of the lines in ``ids``: their texts, an eighth of the size of their sets."""
+    if ids.count() <= BROADCAST_LINES:
+        ids = F.broadcast(ids)
+    rows = lines_of(docs).select(F.col("h").alias("id"), "line").join(ids, "id", "left_semi")
+    return rows.groupBy("id").agg(F.min("line").cast("binary").alias("members"))
 
 
-def line_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, root) of the line hashes that are alike to another."""
-    w = Window.partitionBy("key")
-    rows = band_rows(lines_of(docs)).select("key", "id", F.min("id").over(w).alias("low"), F.max("id").over(w).alias("high"))
-    shared = keep(rows.where("low <> high").select("key", "id", "low").distinct(), "line-bands")
-    texts = keep(texts_of(docs, keep(shared.select("id").distinct(), "line-ids")), "line-texts")
+def line_links(rows: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) within the bands of ``rows`` (key, id, n), confirmed on full sets."""
+    found = keep(band_groups(rows), "line-groups")
+    out = keep(groups.linked(found, texts_of(docs, found.select("id").distinct()), percent, line_set), "line-links")
+    drop(found)
+    return out
 
-    def links(pairs):
-        return keep(confirm(keep(pairs, "line-pairs"), texts, percent, line_set), "line-links")
 
-    found = links(shared.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct())
-    comp = components(found)
-    # Bands of two lines have been decided. In larger ones the components that are left meet, if their tokens agree.
-    large = shared.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 2").select("key")
-    placed = chosen_path.placed(shared.select("key", "id").join(large, "key", "left_semi"), comp)
-    majors = chosen_path.majors(keep(placed, "line-placed"))
-    mixed = keep(placed.join(majors.select("key"), "key", "left_semi").join(signed(texts), "id").select("key", "id", "comp", "n", "tokens"), "line-mixed")
-    leaves = chosen_path.in_blocks(mixed, majors)
-    first = keep(chosen_path.leaf_pairs(leaves, percent, True, AGREE_DEVIATIONS), "line-best")
-    found = keep(found.union(links(first.select("a", "b").distinct())), "line-links")
+def line_components(docs: DataFrame, percent: int = PERCENT, most: int = groups.MOST_ROWS) -> DataFrame:
+    """(node, root) of the line hashes that are alike to another."""
+    lines = keep(signed(lines_of(docs)), "line-bands")
+    rows = lines.select(F.explode("keys").alias("key"), "id", "n")
+    large = keep(crowded(lines, most), "large-bands")
+    if large.isEmpty():
+        comp = components(line_links(rows, docs, percent))
+        drop(lines, large)
+        return comp
+    held = rows.join(large, "key").distinct()
+    found = line_links(rows.join(large, "key", "left_anti").union(groups.hub_blocks(held, most).select("key", "id", "n")), docs, percent)
     comp = components(found)
-    open_ = leaves.join(first.where("more").select("key").distinct(), "key", "left_semi")
-    rest = chosen_path.leaf_pairs(chosen_path.placed(open_, comp).select("key", "id", "comp", "n", "tokens"), percent, False, AGREE_DEVIATIONS).select("a", "b")
-    # Bands with many lines outside their largest component are compared in blocks, all of them.
-    hard = mixed.join(majors.where("NOT few").select("key"), "key", "left_semi").select("key", "id", "comp")
-    second = links(rest.union(cross_pairs(hard)).distinct())
-    return comp if second.isEmpty() else components(found.union(second))
+    named = held.join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("comp"), "n")
+    rest = line_links(groups.outsider_blocks(named, most), docs, percent)
+    comp = comp if rest.isEmpty() else components(found.union(rest))
+    drop(lines, large)
+    return comp
 
 
-def removals(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """All line occurrences (doc, line_no, h, drop), and the components they come from."""
+def removals(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc, version, gone) of the documents that lose lines: the numbers of those, in order."""
     comp = line_components(docs, percent)
-    seen = keep(lines_of(docs).select("doc", "line_no", "h"), "line-occurrences")
-    # First by hash, where partial sums take the copies of a line together, then by component.
-    first = seen.groupBy("h").agg(F.min(F.struct("doc", "line_no")).alias("first"))
-    rooted = first.join(comp.withColumnRenamed("node", "h"), "h", "left").select("h", "first", F.coalesce("root", "h").alias("root"))
-    keeper = keep(rooted.groupBy("root").agg(F.min("first").alias("keeper")), "line-keepers")
-    known = keep(rooted.join(keeper, "root").select("h", "keeper"), "line-known")
-    marked = seen.join(known, "h").select("doc", "line_no", "h", ((F.col("doc") != F.col("keeper")["doc"]) | (F.col("line_no") != F.col("keeper")["line_no"])).alias("drop"))
-    return marked, comp
+    seen = keep(lines_of(docs).select("doc", "version", "line_no", "h"), "line-occurrences")
+    place = F.struct(F.col("doc").isNull().alias("late"), "doc", "version", "line_no")
+    # First by hash, where partial sums take the copies of a line together, then by component; single lines go no further.
+    first = seen.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c"))
+    rooted = keep(first.join(comp.withColumnRenamed("node", "h"), "h", "left").select("h", "first", "c", "root").where("c > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "h")), "line-roots")
+    keeper = rooted.groupBy("root").agg(F.min("first").alias("keeper"))
+    known = keep(rooted.join(keeper, "root").select("h", "keeper"), "line-keepers")
+    gone = seen.join(known, "h").where(F.col("keeper") != place).groupBy("doc", "version").agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
+    out = keep(gone, "gone-lines")
+    drop(seen, rooted, known, comp)
+    return out
+
+
+def marked(docs: DataFrame, what: list[Column], percent: int) -> DataFrame:
+    """``what`` of every row of ``docs``, and ``_gone``, the numbers of its removed lines (null if it keeps all)."""
+    gone = removals(docs, percent).select(F.col("doc").alias("_doc"), F.col("version").alias("_version"), F.col("gone").alias("_gone"))
+    named = [c.alias(f"_own_{n}") for c, n in zip(document(), ("doc", "version"), strict=True)]
+    rows = docs.select(*named, *what)
+    return rows.join(gone, (F.col("_own_version") == F.col("_version")) & F.col("_own_doc").eqNullSafe(F.col("_doc")), "left").drop("_own_doc", "_own_version", "_doc", "_version")
 
 
 def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with the text of each document reduced to its remaining lines; n_chars, where present, follows the text."""
-    marked, _ = removals(docs, percent)
-    gone = marked.where("drop").groupBy("doc").agg(F.collect_set(F.struct("line_no", "h")).alias("_gone")).withColumnRenamed("doc", "_doc")
-    rows = docs.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col("_doc"), "left")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), F.struct(i.alias("line_no"), line_hash(x).alias("h"))))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = rows.withColumn("text", text).where(F.col("_gone").isNull() | (F.trim("text", F.lit(SEPARATORS)) != ""))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    # The row is carried whole, so that its columns cannot clash with those of the join.
+    rows = marked(docs, [F.struct(*docs.columns).alias("_row"), "text"], percent)
+    lines = F.split("text", "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.get(F.transform(F.array(lines), lambda v: F.array_join(F.transform(left, lambda i: F.get(v, i)), "\n")), F.lit(0)))
+    out = rows.withColumn("_text", text).where(F.col("_gone").isNull() | (F.trim("_text", F.lit(SEPARATORS)) != ""))
+    new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    return out.select(*[new[c].alias(c) if c in new else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Per document with a line: doc_id, n_lines, n_kept, and the remaining lines as a list of their hashes in order, hashed."""
-    marked, _ = removals(docs, percent)
-    per = marked.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("line_no", "h", "drop"))).alias("all"))
-    kept = F.filter("all", lambda x: ~x["drop"])
-    per = per.select("doc", F.size("all").cast("long").alias("n_lines"), F.size(kept).cast("long").alias("n_kept"), kept.alias("kept"))
-    found = per.select(F.when(F.col("doc") != LAST, F.col("doc")).alias("_d"), "n_lines", "n_kept", F.xxhash64(F.transform("kept", lambda x: x["h"])).alias("kept_hash"), F.transform("kept", lambda x: x["line_no"]).alias("kept_lines"))
-    zero = F.lit(0).cast("long")
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(found, F.col("doc_id").eqNullSafe(F.col("_d")), "left")
-    return out.select("doc_id", F.coalesce("n_lines", zero).alias("n_lines"), F.coalesce("n_kept", zero).alias("n_kept"), "kept_hash", "kept_lines")
+    """Per row: doc_id, n_lines (with a word), n_kept, and the numbers of the remaining lines."""
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.struct(i.alias("no"), line_hash(x).alias("h"), (F.trim(x, F.lit(SEPARATORS.replace("\n", ""))) != "").alias("word")))
+    rows = marked(docs, [F.col("doc_id").cast("long").alias("doc_id"), F.filter(lines, lambda x: x["word"]).alias("all")], percent)
+    numbers = F.transform("all", lambda x: x["no"])
+    kept = F.when(F.col("_gone").isNull(), numbers).otherwise(F.array_except(numbers, F.col("_gone")))
+    rows = rows.withColumn("kept_lines", kept)
+    return rows.select("doc_id", F.size("all").cast("long").alias("n_lines"), F.size("kept_lines").cast("long").alias("n_kept"), "kept_lines")

@@ -48,11 +48,12 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def drop(df: DataFrame) -> None:
+def drop(*tables: DataFrame) -> None:
     """Delete what ``keep`` wrote; for tables that no later plan reads."""
-    path = getattr(df, "_tidewell_path", None)
-    if path:
-        delete(df.sparkSession, path)
+    for df in tables:
+        path = getattr(df, "_tidewell_path", None)
+        if path:
+            delete(df.sparkSession, path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
