@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from tidewell.llm import direct_codes as dac
 from tidewell.llm import merge_dropout as md
@@ -11,6 +12,12 @@ public = pytest.importorskip("public_tokenizers")
 ODD = ["", "  a", "a   b", " \n x", " a  b  \n c ", "don't  's x's 's", "\t a\t\tb \x1c c", "<|endoftext|> x<|endoftext|>", "é  ü\n\n  z 12 3", "x \n", " ", "   ", "a▁b ▁▁ c\n▁", "日本語 text 🙂", "x" * 300 + " y", "abc" * 90, "\n\n a", "ªb º Ωmega, ſt² Ⅷ a²"]
 
 
+def version(text):
+    """Spark's hash of a text, which orders the texts of one doc_id."""
+    h = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) * (h >> 63)
+
+
 def mess(n=400):
     rnd = random.Random(2)
     return ODD + ["".join(rnd.choice(" \n\tab'1é%²Ω. the") for _ in range(rnd.randint(1, 14))) for _ in range(n)]
@@ -34,18 +41,24 @@ def test_op8(spark, docs, rows, none, monkeypatch):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public.path(dac.VOCABULARY))
-    t.encode_special_tokens = True
+    texts = [(2000 + i, x, *[None] * 7) for i, x in enumerate([*ODD, "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>  y"])]
+    rows = [*rows, *texts, (None, "another text without an id", *[None] * 7), (2000, "another text of one id", *[None] * 7)]
+    docs = spark.createDataFrame(rows, docs.schema)
     folder = dac.new_folder(spark)
     files = dac.write(docs, folder, file_ids=3000)
     got = sorted(dac.read(files).collect(), key=lambda r: r.start)
     assert files.count() > 4
     want = []
-    for d, text, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    for d, text, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, version(r[1]))):
         ids = np.array(t.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
         want.append((d, sum(w[2] for w in want[-1:]) + want[-1][1] if want else 0, len(ids), zlib.crc32(ids.tobytes())))
     assert [tuple(r) for r in got] == want
     one = files.orderBy("part", "seq").first()
     assert dac.token(one["file"], one["n_ids"] - 1) == 0
+    ids = [i for d, text, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, version(r[1])))[: one["n_docs"]] for i in [*t.encode(text or "", add_special_tokens=False).ids, 0]]
+    assert [dac.token(one["file"], i) for i in range(0, len(ids), 7)] == ids[::7] and 50256 in t.encode(ODD[7], add_special_tokens=False).ids
+    with pytest.raises(IndexError):
+        dac.token(one["file"], len(ids))
     assert dac.read(dac.write(none, dac.new_folder(spark))).isEmpty()
 
 

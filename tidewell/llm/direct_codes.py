@@ -13,7 +13,8 @@ Layout, little-endian: ``TWDAC1\\0\\0``, u64 documents, u64 ids, u32 levels, u32
 bitmap (8-byte words), rank directory (u32 per block); then doc_ids (i64), a null mask (u8), starts (u64), counts (u64).
 
 Null text counts as empty (its end id alone), null doc_id sorts first, rows with equal doc_id follow each other in the order of
-their texts; an empty table writes no files and reads as no rows. Special-token strings within texts are ordinary text.
+their texts' hashes, over as many ranges as they need; an empty table writes no files and reads as no rows. A special token
+that a text spells out gets its own id, as the tokenizers library does by default.
 """
 
 from __future__ import annotations
@@ -118,7 +119,8 @@ class Encoder:
     """Ids of texts as little-endian unsigned integers, exactly as the tokenizers library gives them for the whole text.
 
     A byte-level tokenizer cuts a text before each space that stands alone, so the pieces between such cuts are encoded once
-    and remembered, letters and what follows them apart. Texts where white space surrounds white space are encoded whole.
+    and remembered, letters and what follows them apart. Texts where white space surrounds white space, or with a special token,
+    are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -128,14 +130,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
         self.kind = np.dtype("<u2") if self.model.get_vocab_size() <= 65536 else np.dtype("<u4")
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         #: A word and what follows it; the tokenizer always cuts between letters and other characters.
         self.core = re.compile(r" [A-Za-zÀ-ÖØ-öø-ſ]+(?=[\x00-@\[-`{-~]|$)").match
         self.space = self.model.pre_tokenizer.pre_tokenize_str(" ")[0][0]
-        self.unsafe = re.compile(r"\s \s").search
+        #: White space around white space, and tokens that the library finds before it cuts a text.
+        added = sorted(re.escape(t.content) for t in self.model.get_added_tokens_decoder().values())
+        self.unsafe = re.compile("|".join([r"\s \s", *added])).search
 
     def learn(self, pieces: list[str]) -> None:
         """Words of plain letters go straight to the model's merges; the rest through the whole tokenizer."""
@@ -229,14 +232,20 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
         if doc_ids:
             yield flush()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     return keep(ordered.mapInArrow(run, "file string, part int, seq int, n_docs long, n_ids long"), "dac-files")
 
 
 def read(files: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) from the files that ``write`` listed. One row per file is summed for the starts."""
-    order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    listed = files.withColumn("before", F.coalesce(F.sum("n_ids").over(order), F.lit(0)))
+    """(doc_id, start, n_tokens, ids_crc32) from the files that ``write`` listed, a task per file.
+
+    Starts are sums over the files of a part, and over the parts before it: a row per task of ``write``.
+    """
+    before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select(F.col("part"), before(Window.orderBy("part")).alias("parts_before"))
+    listed = files.withColumn("own_before", before(Window.partitionBy("part").orderBy("seq"))).join(parts, "part")
+    listed = listed.select("file", (F.col("own_before") + F.col("parts_before")).alias("before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,18 +260,34 @@ def read(files: DataFrame) -> DataFrame:
                     "doc_id": pa.array(doc_ids, pa.int64()), "start": pa.array(starts.astype(np.int64) + before), "n_tokens": pa.array(counts.astype(np.int64)), "ids_crc32": pa.array(crc, pa.int64())
                 })
 
-    dealt = listed.select("file", "before").repartition(F.col("file"))
-    return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return listed.repartition(max(1, files.count())).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 digest = read
 
 
 def token(name: str, i: int) -> int:
-    """Id ``i`` of a file, by random access."""
+    """Id ``i`` of a file by random access: per level its size, a chunk, a bitmap block and a rank are read."""
     store, path = resolve(name)
-    with store.open_input_stream(path) as src:
-        return access(load(src.read())[0], i)
+    with store.open_input_file(path) as src:
+        if src.read_at(8, 0) != MAGIC:
+            raise ValueError("not a DAC file")
+        total, n_levels, _ = struct.unpack("<QII", src.read_at(16, 16))
+        if not 0 <= i < total:
+            raise IndexError(i)
+        value, at = 0, 32
+        for k in range(n_levels):
+            n = struct.unpack("<Q", src.read_at(8, at))[0]
+            words, blocks = at + 8 + n, -(-n // BLOCK)
+            value |= src.read_at(1, at + 8 + i)[0] << (8 * k)
+            block, bit = divmod(i, BLOCK)
+            bits = int.from_bytes(src.read_at(BLOCK // 8, words + block * BLOCK // 8), "little")
+            if not bits >> bit & 1:
+                break
+            ranks = words + blocks * BLOCK // 8
+            i = struct.unpack("<I", src.read_at(4, ranks + 4 * block))[0] + (bits & ((1 << bit) - 1)).bit_count()
+            at = ranks + 4 * blocks
+        return value
 
 
 __all__ = ["Encoder", "access", "digest", "dump", "encoder", "load", "new_folder", "pack", "read", "token", "unpack", "write"]
