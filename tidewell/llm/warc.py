@@ -180,7 +180,7 @@ def _chunks(uri: str, size: int = 1 << 18) -> Iterator[bytes]:
 
 
 def normalise(files: DataFrame, folder: str, level: int = 6) -> DataFrame:
-    """Rewrite each file with a member per record; returns (file, index, n_records)."""
+    """Rewrite each file with a member per record, a task per file; returns (file, index, n_records)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,7 +196,7 @@ def normalise(files: DataFrame, folder: str, level: int = 6) -> DataFrame:
                     n += 1
                 yield pa.RecordBatch.from_pydict({"file": [out.close()], "index": [index.close()], "n_records": [n]})
 
-    return keep(files.repartition(F.col("file")).mapInArrow(run, "file string, index string, n_records long"), "warc-norm")
+    return keep(files.repartition(max(1, files.count())).mapInArrow(run, "file string, index string, n_records long"), "warc-norm")
 
 
 def member(file: str, offset: int, length: int) -> tuple[dict[str, str], bytes]:
@@ -234,7 +234,7 @@ def read(normalised: DataFrame, per_batch: int = 1000) -> DataFrame:
                 for i in range(0, len(found), per_batch):
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*found[i : i + per_batch], strict=True), kinds, strict=True)], names=[n for n, _ in kinds])
 
-    return normalised.repartition(F.col("file")).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return normalised.repartition(max(1, normalised.count())).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive(pages: DataFrame, folder: str | None = None, least: int = 0) -> DataFrame:
