@@ -3,14 +3,18 @@
 Patterns give the base spans: assignments of a password-like name, access ids, long hex runs. The battery then looks at every run
 of key characters that no base span covers: it infers the smallest encoding that explains the run (hex, base32, base36, base62,
 base64 with + and /, or with - and _) and tests the hypothesis "uniform symbols of that encoding" four ways: chi-squared over the symbols, chi-squared over the
-character classes, runs about the middle of the alphabet, and lag-1 serial correlation. Four p-values combine by Bonferroni.
+character classes, runs about the middle of the alphabet, and lag-1 serial correlation. The smallest of the four p-values, corrected
+for being that (Sidak), is near uniform over tokens that are random.
 A run is tested as the longest pieces without - and _, the longest without + and /, and the longest of letters and digits alone, so
 that a key in a path or a dashed name is tested by itself too. Runs without digits or without letters are tested like all others.
 
-Tokens that are *not* random are found by Benjamini-Hochberg within a class of (encoding, length octave): thresholds come from
-counts of p-values over all documents, so short tokens, whose tests are weak, never dilute long ones. A token is reported where
-randomness stands and its length carries at least ``BITS`` bits (15 characters of 64, 16 of 62, 18 of 32 or 36, 23 of 16), unless a
-longer piece around it is reported; two pieces that only overlap are both reported. The counts are a mergeable histogram with logarithmic bins.
+Discoveries are controlled on both sides within a class of (encoding, length octave), from counts of p-values over all
+documents, so that short tokens, whose tests are weak, never dilute long ones. Tokens that are *not* random are found by
+Benjamini-Hochberg. Of those left, random ones have a flat density, which the p-values above one half show (Storey's estimate); what
+exceeds it are false alarms, and the least p-value that is reported is raised until their share among the reported is at
+most ``FALSE_DISCOVERY``. A token is reported where it passes both, its length carries at least ``BITS`` bits (15 characters of 64, 16
+of 62, 18 of 32 or 36, 23 of 16), and no longer piece around it is reported; two pieces that only overlap are both reported. The
+counts are a mergeable histogram with logarithmic bins.
 
 Null text is empty and has no spans. An empty table gives an empty result. Texts are scanned whole; rows are independent, so repeated
 rows repeat and null doc_ids are carried along. Only doc_id and text are read; other columns do not matter.
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,6 +41,8 @@ KINDS = ("assign", "access", "hex", "random")
 
 NAMES = ("pass", "secret", "token", "api")
 FALSE_DISCOVERY, BITS, BINS = 0.05, 90.0, 400
+#: Bins above a p-value of one half, where tokens that are not random are taken to be few.
+FLAT = 3
 #: Fewest characters that carry ``BITS`` in the largest encoding.
 LEAST = math.ceil(BITS / 6)
 RUN = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % LEAST)
@@ -102,7 +109,8 @@ def battery(token: str, encoding: int) -> tuple[float, float, float, float]:
 
 
 def combined(ps: tuple[float, ...]) -> float:
-    return min(1.0, len(ps) * min(ps))
+    least = min(1.0, *ps)
+    return -math.expm1(len(ps) * math.log1p(-least)) if least < 1 else 1.0
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -120,6 +128,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, float, list[tuple[int, int, float]]]]:
     """(start, end, encoding, length octave, p, the last three of the pieces around it) of key-like pieces that no base span touches
     and that are long enough."""
+    # Base spans as disjoint intervals: one bisection tells whether a piece touches any.
+    starts, ends = [], []
+    for s, _, t in base:
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], t)
+        else:
+            starts.append(s)
+            ends.append(t)
+
+    def touched(a: int, b: int) -> bool:
+        i = bisect_left(starts, b)
+        return i > 0 and ends[i - 1] > a
+
     tested: dict[tuple[int, int], tuple[int, int, float] | None] = {}
     around: dict[tuple[int, int], list] = {}
 
@@ -127,7 +148,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         if (a, b) not in tested:
             e = encoding_of(text[a:b])
             short = e < 0 or (b - a) * math.log2(len(_TABLES[e][1])) < BITS
-            ok = not short and not any(s < b and a < t for s, _, t in base)
+            ok = not short and not touched(a, b)
             tested[a, b], around[a, b] = (e, (b - a).bit_length(), combined(battery(text[a:b], e))) if ok else None, []
         return tested[a, b]
 
@@ -174,15 +195,21 @@ def scan(docs: DataFrame, per_batch: int = 1000) -> DataFrame:
 
 
 def thresholds(scanned: DataFrame, q: float = FALSE_DISCOVERY) -> DataFrame:
-    """(encoding, octave, limit): randomness is rejected for bins from ``limit`` on. At most one row per class.
+    """(encoding, octave, limit): a token is random where its bin is below ``limit``. At most one row per class.
 
     Benjamini-Hochberg on the histogram: the largest p-value whose rank r satisfies p <= q r / m, with p the upper edge of its bin.
+    False alarms: of N tokens with p above t, ``m0 (1 - t)`` are random, m0 being what the bins above one half would give over
+    all p, with two standard errors and one token more; the lowest t whose remaining share is at most q bounds the limit.
     """
     counts = scanned.select(F.explode("found").alias("c")).groupBy("c.encoding", "c.octave", "c.bin").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("encoding", "octave")
-    ranked = counts.select("*", F.sum("n").over(w.orderBy(F.col("bin").desc())).alias("rank"), F.sum("n").over(w).alias("m"))
+    run = lambda order: F.sum("n").over(w.orderBy(order))
+    top = F.coalesce(F.sum(F.when(F.col("bin") < FLAT, F.col("n"))).over(w), F.lit(0))
+    ranked = counts.select("*", run(F.col("bin").desc()).alias("rank"), F.sum("n").over(w).alias("m"), run(F.col("bin")).alias("above"), top.alias("top"))
     passes = F.pow(F.lit(10.0), -F.col("bin") / 10) <= q * F.col("rank") / F.col("m")
-    return ranked.groupBy("encoding", "octave").agg(F.coalesce(F.min(F.when(passes, F.col("bin"))), F.lit(BINS + 1)).alias("limit"))
+    random = (F.col("top") + 1 + 2 * F.sqrt(F.col("top"))) / (1 - 10 ** (-FLAT / 10)) * (1 - F.pow(F.lit(10.0), -(F.col("bin") + 1) / 10))
+    clean = (F.col("bin") < FLAT) | (1 - random / F.col("above") <= q)
+    return ranked.groupBy("encoding", "octave").agg(F.least(F.coalesce(F.min(F.when(passes, F.col("bin"))), F.lit(BINS + 1)), F.coalesce(F.max(F.when(clean, F.col("bin") + 1)), F.lit(FLAT))).alias("limit"))
 
 
 def detect(docs: DataFrame) -> DataFrame:
