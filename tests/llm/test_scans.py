@@ -68,6 +68,23 @@ def test_short_keys_paths_and_keys_of_letters(spark):
     assert sorted(len(x[5]) for x in secrets.candidates(whole, [])) == [0, 1, 1, 1] and secrets.digest(spark.createDataFrame([(1, whole)], "doc_id long, text string")).first().n_random == 1
 
 
+def test_false_alarms_among_reports(spark):
+    """Tokens whose p-values fall off towards one half are kept out once random ones show how many to expect; lone ones are not."""
+    def scanned(ps):
+        rows = [([], [{"start": 0, "end": 20, **secrets.classed(5, 5, p), "around": []}]) for p in ps]
+        return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], secrets.SCHEMA)
+
+    rng = np.random.default_rng(1)
+    flat = rng.random(2000)
+    limit = lambda ps: secrets.thresholds(scanned([float(p) for p in ps])).first()["limit"]
+    assert limit(flat) > 20
+    mixed = np.concatenate([flat, 10 ** rng.uniform(-2.5, -1, 2000)])
+    t = 10 ** (-limit(mixed) / 10)
+    reported = mixed > t
+    assert reported[2000:].sum() <= 0.12 * reported.sum() and reported[:2000].mean() > 0.7
+    assert limit([0.3]) > 5 and limit([1e-9] * 5) <= 90
+
+
 def test_battery_is_calibrated():
     rnd, low = random.Random(9), 0
     for _ in range(1500):
@@ -78,18 +95,31 @@ def test_battery_is_calibrated():
         assert secrets.combined(secrets.battery(bad, 0)) < 1e-4
 
 
-def test_factors_learn_pairs():
-    """Only the two terms together make a row toxic: the pair gets a weight of its own, beyond the terms' weights."""
+def of_two(together):
+    """Rows where ``together`` of the terms 1 and 2 makes a row toxic, and a model of them."""
     rng = np.random.default_rng(0)
     rows, y = [], []
     for _ in range(4000):
         a, b = rng.random(2) < 0.5
         rows.append([1] * int(a) + [2] * int(b) + [10 + int(rng.integers(40))])
-        y.append(float(a and b))
-    m = toxicity.fit(np.array([t for r in rows for t in r], np.uint32), np.array([len(r) for r in rows]), np.array(y))
-    assert {1, 2} <= m.terms.keys() and m.v[m.terms[1]] @ m.v[m.terms[2]] > 0.1
-    p = m.scores([[m.terms[i] for i in r] for r in ([1, 2], [1], [2], [])])
-    assert p[0] > 0.7 and max(p[1:]) < 0.3
+        y.append(float(together(a, b)))
+    return toxicity.fit(np.array([t for r in rows for t in r], np.uint32), np.array([len(r) for r in rows]), np.array(y))
+
+
+def test_factors_learn_pairs():
+    """Only the two terms together make a row toxic."""
+    p = of_two(lambda a, b: a and b).scores([[1, 2, 12], [1, 12], [2, 12], [12], []])
+    assert p[0] > 0.9 and max(p[1:]) < 0.2
+
+
+def test_factors_learn_exactly_one_of_two():
+    """Neither term tells anything alone, which no additive model can separate: the pair does."""
+    m = of_two(lambda a, b: a != b)
+    p = m.scores([[1, 2, 12], [1, 12], [2, 12], [12]])
+    assert min(p[1:3]) > 0.65 and p[0] < 0.2 and p[3] < 0.5
+    assert m.v[m.place[1]] @ m.v[m.place[2]] < -0.5
+    additive = toxicity.Model(m.bias, m.place, m.w, m.r, np.zeros_like(m.v)).scores([[1, 2, 12], [1, 12], [2, 12], [12]])
+    assert additive[0] > min(additive[1:3])
 
 
 def test_op6(spark, none):
