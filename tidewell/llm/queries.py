@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewell.llm import oracle
 from tidewell.llm.scratch import small_batches
 
 
@@ -86,4 +87,4 @@ QUERIES = {
     "op8_direct_codes": op8_direct_codes,
     "op7_quality_rules": op7_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = oracle.SQL
