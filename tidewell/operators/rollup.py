@@ -7,6 +7,7 @@ Histograms are counted sparsely by slot and become vectors only at the end.
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -26,6 +27,25 @@ def windowed(points: DataFrame, seconds: int) -> DataFrame:
     return points.withColumns({"timestamp": ts, "label_hash": label_hash(F.col("labels")), "window_start": start_of(ts, seconds)})
 
 
+def occurrence(at, value):
+    """A number that orders pairs of event time and value, by time first: the time above, the bits of the value below.
+
+    A struct would do the same, but cannot live in the buffer of a hash aggregation, which would then sort all rows.
+    """
+    a = F.abs(value)
+    e = F.greatest(F.floor(F.log2(a)), F.lit(-1022)).cast("double")
+    m = a * F.pow(F.lit(2.0), -e)
+    # The logarithm may be off by one next to a power of two.
+    e, m = F.when(m >= 2, e + 1).when((m < 1) & (e > -1022), e - 1).otherwise(e), F.when(m >= 2, m / 2).when((m < 1) & (e > -1022), m * 2).otherwise(m)
+    size = (e + 1022).cast("long") * F.lit(1 << 52) + (m * F.lit(float(1 << 52))).cast("long")
+    bits = F.when(F.isnan(value), F.lit((1 << 63) - 1)).when(a == float("inf"), F.lit(0x7FF << 52) * F.signum(value).cast("long")).when(a == 0, F.lit(0).cast("long")).when(value < 0, -size).otherwise(size)
+    return F.unix_micros(at).cast("decimal(20,0)") * F.lit(Decimal(1 << 64)).cast("decimal(20,0)") + bits.cast("decimal(20,0)")
+
+
+def _latest(at, value) -> list:
+    return [F.max_by(value, occurrence(at, value)).alias("last"), F.max(at).alias("last_event_at")]
+
+
 def build(points: DataFrame, seconds: int = 60, with_labels: bool = True) -> DataFrame:
     """A rollup per tenant, metric, kind, label set and window.
 
@@ -34,30 +54,23 @@ def build(points: DataFrame, seconds: int = 60, with_labels: bool = True) -> Dat
     """
     rows = windowed(points, seconds)
     slot = F.when(F.col("kind") == "histogram", H.slot(F.col("value")))
-    by_slot = rows.groupBy(*KEY, slot.alias("slot")).agg(
-        F.count(F.lit(1)).alias("count"), F.sum("value").alias("sum"), F.min("value").alias("min"), F.max("value").alias("max"),
-        F.max(F.struct("timestamp", "value")).alias("latest"), F.first("labels").alias("labels"),
+    by_slot = rows.groupBy(*KEY, "labels", slot.alias("slot")).agg(
+        F.count(F.lit(1)).alias("count"), F.sum("value").alias("sum"), F.min("value").alias("min"), F.max("value").alias("max"), *_latest(F.col("timestamp"), F.col("value")),
     )
     sparse = F.map_from_entries(F.collect_list(F.when(F.col("slot").isNotNull(), F.struct("slot", "count"))))
-    out = by_slot.groupBy(*KEY).agg(
-        F.sum("count").alias("count"), F.sum("sum").alias("sum"), F.min("min").alias("min"), F.max("max").alias("max"),
-        F.max("latest").alias("latest"), F.first("labels").alias("labels"), sparse.alias("sparse"),
+    out = by_slot.groupBy(*KEY, "labels").agg(
+        F.sum("count").alias("count"), F.sum("sum").alias("sum"), F.min("min").alias("min"), F.max("max").alias("max"), *_latest(F.col("last_event_at"), F.col("last")), sparse.alias("sparse"),
     )
-    out = out.withColumns({
-        "window_end": end_of(F.col("window_start"), seconds), "last": F.col("latest")["value"], "last_event_at": F.col("latest")["timestamp"],
-        "buckets": F.when(F.col("kind") == "histogram", H.dense(F.col("sparse"))),
-    })
+    out = out.withColumns({"window_end": end_of(F.col("window_start"), seconds), "buckets": F.when(F.col("kind") == "histogram", H.dense(F.col("sparse")))})
     return out.select(*[c for c in COLUMNS if with_labels or c != "labels"])
 
 
 def scalars(points: DataFrame, seconds: int = 60) -> DataFrame:
     """Rollups without histograms: one shuffle, no vectors."""
-    rows = windowed(points, seconds)
-    out = rows.groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("count"), F.sum("value").alias("sum"), F.min("value").alias("min"), F.max("value").alias("max"),
-        F.max(F.struct("timestamp", "value")).alias("latest"), F.first("labels").alias("labels"),
+    out = windowed(points, seconds).groupBy(*KEY, "labels").agg(
+        F.count(F.lit(1)).alias("count"), F.sum("value").alias("sum"), F.min("value").alias("min"), F.max("value").alias("max"), *_latest(F.col("timestamp"), F.col("value")),
     )
-    return out.withColumns({"window_end": end_of(F.col("window_start"), seconds), "last": F.col("latest")["value"], "last_event_at": F.col("latest")["timestamp"]}).drop("latest")
+    return out.withColumn("window_end", end_of(F.col("window_start"), seconds))
 
 
 def percentile(points: DataFrame, seconds: int, q: float) -> DataFrame:
@@ -69,18 +82,28 @@ def percentile(points: DataFrame, seconds: int, q: float) -> DataFrame:
 def merge(*parts: DataFrame) -> DataFrame:
     """Rollups of several parts added up; a revision column, where present, keeps its maximum.
 
-    Vectors of another length than the first one seen in order of (revision, total) are left out of the sum.
+    Occupied slots are added as rows of their own, in the hash aggregation that adds the scalars; a second one gathers the slots
+    of a key. Vectors that do not have the 153 slots are left out; a key without any other has none.
     """
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    extra = [F.max("revision").alias("revision")] if "revision" in rows.columns else []
-    vectors = F.filter(F.collect_list("buckets"), lambda v: F.size(v) == H.SLOTS)
-    summed = F.aggregate(vectors, F.array_repeat(F.lit(0).cast("long"), H.SLOTS), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
-    out = rows.groupBy(*KEY).agg(
-        F.first("labels", ignorenulls=True).alias("labels"), F.max("window_end").alias("window_end"), F.sum("count").alias("count"), F.sum("sum").alias("sum"), F.min("min").alias("min"), F.max("max").alias("max"),
-        F.max(F.struct("last_event_at", "last")).alias("latest"), F.when(F.size(vectors) > 0, summed).otherwise(F.first("buckets", ignorenulls=True)).alias("buckets"), *extra,
-    )
-    out = out.withColumns({"last": F.col("latest")["last"], "last_event_at": F.col("latest")["last_event_at"]})
-    return out.select(*COLUMNS, *(["revision"] if extra else []))
+    extra = ["revision"] if "revision" in rows.columns else []
+    scalar = ["window_end", *SCALARS, *extra]
+    vector = F.when(F.size("buckets") == H.SLOTS, F.col("buckets"))
+    slots = F.filter(F.transform(vector, lambda n, i: F.struct(i.alias("slot"), n.alias("n"))), lambda x: x["n"] != 0)
+    # The scalars ride with slot -1, whose count tells how many vectors there were; other slots carry nothing else.
+    own = F.struct(F.lit(-1).alias("slot"), vector.isNotNull().cast("long").alias("n"))
+    rows = rows.select(*KEY, "labels", *scalar, F.explode(F.concat(F.array(own), F.coalesce(slots, F.array().cast("array<struct<slot:int,n:bigint>>")))).alias("e"))
+    here = lambda c: F.when(F.col("e.slot") < 0, F.col(c))
+    rows = rows.select(*KEY, "labels", *[here(c).alias(c) for c in scalar], F.col("e.slot").alias("slot"), F.col("e.n").alias("n"))
+
+    def added(n):
+        top = [F.max(c).alias(c) for c in ("window_end", *extra)]
+        return [*top, F.sum("count").alias("count"), F.sum("sum").alias("sum"), F.min("min").alias("min"), F.max("max").alias("max"), *_latest(F.col("last_event_at"), F.col("last")), *n]
+
+    by_slot = rows.groupBy(*KEY, "labels", "slot").agg(*added([F.sum("n").alias("n")]))
+    entry = F.when(F.col("slot") >= 0, F.struct("slot", "n"))
+    out = by_slot.groupBy(*KEY, "labels").agg(*added([F.map_from_entries(F.collect_list(entry)).alias("sparse"), F.sum(F.when(F.col("slot") < 0, F.col("n"))).alias("vectors")]))
+    return out.withColumn("buckets", F.when(F.col("vectors") > 0, H.dense(F.col("sparse")))).select(*COLUMNS, *extra)
 
 
 def sparse_slots(points: DataFrame, seconds: int) -> DataFrame:
