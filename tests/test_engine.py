@@ -1,3 +1,4 @@
+import math
 import json
 import random
 from datetime import UTC, datetime, timedelta
@@ -241,3 +242,73 @@ def test_ledger_and_reservations(spark):
     held = spark.createDataFrame([("t", "k1", "f", "r1", BASE - timedelta(hours=1), BASE + timedelta(hours=1)), ("t", "k2", "f", "r2", BASE - timedelta(days=2), BASE)], "tenant_id string, idempotency_key string, fingerprint string, response string, created_at timestamp, expires_at timestamp")
     got = {(r.idempotency_key, r.fingerprint): (r.outcome, r.response) for r in ledger.reserve(req, held).collect()}
     assert got == {("k1", "f"): ("replay", "r1"), ("k1", "g"): ("conflict", None), ("k2", "f"): ("new", None), ("k3", "f"): ("new", None)}
+
+
+def test_occurrences_are_ordered_by_time_and_value(spark):
+    """As pairs of both are, for doubles of every size."""
+    rnd = random.Random(3)
+    values = [0.0, 5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, math.inf, 1.0, 2.0, 0.5, math.nextafter(1, 0), math.nextafter(1, 2), math.nextafter(8, 0), 1e100, 1e-100]
+    values += [math.ldexp(rnd.random() + 0.5, rnd.randint(-1060, 1020)) for _ in range(200)] + [2.0**k for k in range(-1074, 1024, 7)]
+    values = sorted({*values, *(-v for v in values)})
+    df = spark.createDataFrame([(i, t, v) for i, (t, v) in enumerate((t, v) for t in (-5, 0, 4_000_000_000_000_000) for v in values)], "i long, t long, v double")
+    got = [r.o for r in df.select("i", rollup.occurrence(F.timestamp_micros("t"), F.col("v")).alias("o")).orderBy("i").collect()]
+    assert got == sorted(got) and len(set(got)) == len(got)
+
+
+def test_rollups_are_hashed_not_sorted(spark):
+    rows = points(spark, [(i, i, "histogram", {"a": "b"}) for i in range(5)])
+    for df in (rollup.build(rows), rollup.scalars(rows), rollup.merge(rollup.build(rows), rollup.build(rows))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan
+    odd = rollup.build(rows).withColumn("buckets", F.array(F.lit(1).cast("long")))
+    assert rollup.merge(odd).first()["buckets"] is None and sum(rollup.merge(odd, rollup.build(rows)).first()["buckets"]) == 5
+
+
+def test_store_bases_vacuum_and_races(spark, tmp_path, monkeypatch):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tidewell.plans import store as module
+
+    monkeypatch.setattr(module, "BASE_EVERY", 3)
+    store = Store(spark, f"file://{tmp_path}/store")
+    put = lambda i: store.commit("acme", rollup.build(points(spark, [(60 * i, i, "gauge", {})], batch=f"b{i}")), ledger.claims(points(spark, [(60 * i, i, "gauge", {})], batch=f"b{i}")), BASE)
+    with ThreadPoolExecutor(4) as pool:
+        assert sorted(pool.map(put, range(7))) == list(range(1, 8))
+    assert store.rollups("acme").agg(F.sum("sum")).first()[0] == 21 and store.ledger("acme").count() == 7
+    assert not store._create("commits/acme/000000000001.json", "{}") and store._manifest("acme", 1).get("data")
+    opened = []
+    monkeypatch.setattr(store, "_manifest", lambda t, n, f=store._manifest: opened.append(n) or f(t, n))
+    assert len(store._live("acme", "data")) == 7 and opened == [6, 7]
+    assert store.compact("acme") and len(store._live("acme", "data")) == 1
+    folders = lambda: len(store._names("data"))
+    assert folders() == 8 and store.vacuum("acme", datetime.now(UTC)) == 0
+    assert store.vacuum("acme", datetime.now(UTC) + timedelta(days=2)) == 7 + 5 and folders() == 1
+    assert store.rollups("acme").agg(F.sum("sum")).first()[0] == 21 and store.revision("acme") == 8
+    with pytest.raises(Conflict):
+        put(3)
+
+
+def test_feed_by_metric_budget_and_tail(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+
+    def put(batch, metric, rows):
+        p = points(spark, rows, batch=batch).withColumn("metric", F.lit(metric))
+        return store.commit("acme", rollup.build(p), ledger.claims(p), BASE)
+
+    put("b1", "cpu", [(0, 1, "gauge", {"h": "1"}), (0, 1, "gauge", {"h": "2"})])
+    put("b2", "disk", [(0, 5, "gauge", {"h": "1"})])
+    assert [r["metric"] for r in store.changes("acme", Cursor(0), metric="disk").collect()] == ["disk"]
+    assert store.changes("acme", Cursor(0)).count() == 3
+    with pytest.raises(ValueError, match="budget"):
+        store.changes("acme", Cursor(0), budget=100)
+    news = iter([lambda: put("b3", "cpu", [(1, 2, "gauge", {"h": "1"}), (61, 4, "gauge", {"h": "2"})]), lambda: None, lambda: put("b4", "cpu", [(2, 3, "gauge", {"h": "1"})])])
+    got = [[(r["labels"]["h"], r["sum"]) for r in rows] for rows in store.tail("acme", "cpu", polls=3, wait=lambda: next(news)())]
+    assert [sorted(x) for x in got] == [[("1", 3.0), ("2", 4.0)], [], [("1", 6.0)]]
+    req, bad = R.parse("acme", {"metric": "cpu", "from": "2024-03-01T12:00:00Z", "to": "2024-03-01T13:00:00Z"}, BASE)
+    assert not bad
+    small = query.MAX_READ_BYTES
+    try:
+        query.MAX_READ_BYTES = 1000
+        assert query.over_budget(store.rollups("acme"), 1000) and not query.over_budget(store.rollups("acme"), small)
+    finally:
+        query.MAX_READ_BYTES = small

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
@@ -78,31 +79,50 @@ def kind_of(rows: DataFrame) -> DataFrame:
 
 
 def answer(rollups: DataFrame, req: Request, limits: Limits | None = None) -> dict:
-    """The answer document: row cut to ``max_points`` first, then the caps on what is left."""
+    """The answer document: row cut to ``max_points`` first, then the caps on what is left.
+
+    One job: a top-k of at most ``max_points + 1`` rows with their statistic and cost; the caps of ``shaped`` follow on these rows.
+    """
     limits = limits or Limits()
-    rows = scan(rollups, req.tenant_id, req.metric, req.start, req.end, req.labels, limits.max_points + 1).cache()
-    try:
-        if over_budget(rows):
-            raise ValueError("the query exceeds the read byte budget")
-        n = rows.count()
-        cut = rows.orderBy(*scan_order()).limit(limits.max_points)
-        points = shaped(cut, req.aggregation, req.max_series, limits.max_points)
-        kind = kind_of(cut).first()["kind"]
-        found = points.orderBy(F.concat_ws(":", "kind", "label_hash"), "t").collect()
-        missing = req.aggregation in H.QUANTILES and len(found) < min(n, limits.max_points)
-    finally:
-        rows.unpersist()
-    series: dict[tuple, dict] = {}
-    for p in found:
-        if p["keep"]:
-            series.setdefault((p["kind"], p["label_hash"]), {"kind": p["kind"], "labels": dict(p["labels"] or {}), "points": []})["points"].append((p["t"], p["v"]))
+    rows = scan(rollups, req.tenant_id, req.metric, req.start, req.end, req.labels, limits.max_points + 1)
+    found = rows.select("kind", "label_hash", "labels", F.col("window_start").alias("t"), statistic(req.aggregation).alias("v"), cost(rows).alias("cost")).collect()
+    if sum(r["cost"] for r in found) > MAX_READ_BYTES:
+        raise ValueError("the query exceeds the read byte budget")
+    cut = found[: limits.max_points]
+    values = [r for r in cut if r["v"] is not None]
+    series: dict[tuple, list] = {}
+    points, dropped = 0, False
+    for r in values:
+        name = (r["kind"], r["label_hash"])
+        if name not in series and len(series) < req.max_series:
+            series[name] = []
+        met = name in series
+        points += met
+        if met and not 0 < limits.max_points < points:
+            series[name].append(r)
+        else:
+            dropped = True
     stamp = lambda t: t.strftime("%Y-%m-%dT%H:%M:%SZ")
-    out = {"metric": req.metric, "agg": req.aggregation, "kind": kind, "from": stamp(req.start), "to": stamp(req.end), "series": list(series.values()), "truncated": n > limits.max_points or any(not p["keep"] for p in found)}
-    if missing:
+    shown = [{"kind": p[0]["kind"], "labels": dict(p[0]["labels"] or {}), "points": [(r["t"], r["v"]) for r in sorted(p, key=lambda r: r["t"])]} for _, p in sorted(series.items(), key=lambda x: f"{x[0][0]}:{x[0][1]}") if p]
+    kinds = {r["kind"] for r in cut}
+    kind = None if not kinds else min(kinds) if len(kinds) == 1 else "mixed"
+    out = {"metric": req.metric, "agg": req.aggregation, "kind": kind, "from": stamp(req.start), "to": stamp(req.end), "series": shown, "truncated": len(found) > limits.max_points or dropped}
+    if req.aggregation in H.QUANTILES and len(values) < len(cut):
         out["warnings"] = [f"{req.aggregation} is only available for histogram metrics; windows without a histogram were omitted"]
     return out
 
 
+def answer_json(document: dict) -> str:
+    """An answer as JSON: times in RFC 3339, no NaN or infinities."""
+
+    def plain(x):
+        if isinstance(x, datetime):
+            return x.strftime("%Y-%m-%dT%H:%M:%S.%fZ").replace(".000000Z", "Z")
+        raise TypeError(type(x).__name__)
+
+    return json.dumps(document, default=plain, allow_nan=False, ensure_ascii=False, separators=(",", ":"))
+
+
 def stream_events(rollups: DataFrame) -> DataFrame:
     """What a live tail sends: scalars only, no buckets and no percentiles."""
     avg = F.when(F.col("count") == 0, 0.0).otherwise(F.col("sum") / F.col("count"))
@@ -110,9 +130,10 @@ def stream_events(rollups: DataFrame) -> DataFrame:
 
 
 def sse_frames(rollups: DataFrame) -> DataFrame:
-    """Text frames of a server-sent event stream, in keyset order."""
-    body = F.to_json(F.struct(*stream_events(rollups).columns))
-    rows = stream_events(rollups)
+    """(frame): text frames of a server-sent event stream, in keyset order where rollups have a revision."""
+    order = ["revision"] if "revision" in rollups.columns else []
+    rows = stream_events(rollups.orderBy(*order, "metric", "kind", "label_hash", "window_start"))
+    body = F.to_json(F.struct(*rows.columns))
     return rows.select(F.concat(F.lit("event: rollup\ndata: "), body, F.lit("\n\n")).alias("frame"))
 
 

@@ -1,21 +1,26 @@
 """A rollup store of immutable deltas: a commit is one exclusively created manifest.
 
-Layout under the root: ``data/<id>`` (rollup deltas, Parquet), ``ledger/<id>`` (claims), ``commits/<tenant>/<n>.json``. A manifest
+Layout under the root: ``data/<id>`` (rollup deltas, Parquet), ``ledger/ident=<id>/day=<day>`` (claims), ``commits/<tenant>/<n>.json``. A manifest
 names the data and claims that became visible with revision ``n`` of its tenant. Readers see only what manifests name, so
 rollups and claims appear together or not at all; losing the race for a number means looking at the claims again. Deltas merge
 on read, because merging is associative. Compaction and retention write a delta that replaces others, under a new manifest.
+
+A manifest is written under a private name and gets its number complete. Every ``BASE_EVERY``-th one also lists all that is live, so
+that a reader opens a bounded number of them. Claims are partitioned by the day of their window. ``vacuum`` deletes files that
+were replaced, and manifests that a base covers, once they are older than any reader.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timedelta
 from urllib.parse import quote, unquote
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.operators.query import MAX_CHANGE_BYTES, cost
@@ -25,6 +30,12 @@ from tidewell.schema import KEY, LEDGER, ROLLUP
 CLAIM = ["tenant_id", "batch_id", "window_start"]
 DATA = f"{ROLLUP}, revision bigint"
 CLAIMS = f"{LEDGER}, processed_at timestamp"
+BASE_EVERY = 32
+
+
+def _day(at: Column) -> Column:
+    """The UTC day of a time, whatever zone a session has."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(at.cast("timestamp")) / 86_400_000_000).cast("int"))
 
 
 class Conflict(Exception):
@@ -57,16 +68,28 @@ class Store:
         return sorted(s.getPath().getName() for s in self._fs.listStatus(path)) if self._fs.exists(path) else []
 
     def _create(self, name: str, text: str) -> bool:
-        """Write a file unless it exists; the one operation that must be exclusive."""
+        """Write a file unless it exists: complete under a private name, then named in one exclusive step."""
+        folder, _, last = name.rpartition("/")
+        target, private = self._path(name), self._path(f"{folder}/.{last}.{uuid.uuid4().hex}")
+        out = self._fs.create(private, False)
+        out.write(text.encode())
+        out.close()
+        jvm = self.spark._jvm
         try:
-            out = self._fs.create(self._path(name), False)
+            if self._fs.getScheme() == "file":
+                # A local rename would replace what is there; a link does not.
+                at = lambda p: jvm.java.nio.file.Paths.get(p.toUri().getPath(), self.spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0))
+                jvm.java.nio.file.Files.createLink(at(target), at(private))
+            else:
+                none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration()).rename(private, target, none)
+            return True
         except Py4JJavaError as e:
-            if "exists" in str(e.java_exception.getMessage() or ""):
+            if "Exist" in e.java_exception.getClass().getSimpleName():
                 return False
             raise
-        out.write(text.encode())
-        out.close()
-        return True
+        finally:
+            self._fs.delete(private, False)
 
     def _read(self, name: str) -> str:
         stream = self._fs.open(self._path(name))
@@ -82,22 +105,62 @@ class Store:
     def _folder(self, tenant: str) -> str:
         return f"commits/{quote(tenant, safe='')}"
 
-    def manifests(self, tenant: str) -> list[dict]:
-        folder = self._folder(tenant)
-        return [json.loads(self._read(f"{folder}/{n}")) | {"n": int(n[:-5])} for n in self._names(folder) if n.endswith(".json") and not n.startswith(".")]
+    def _numbers(self, tenant: str) -> list[int]:
+        return [int(n[:-5]) for n in self._names(self._folder(tenant)) if n.endswith(".json") and not n.startswith(".")]
+
+    def _manifest(self, tenant: str, n: int) -> dict:
+        return json.loads(self._read(f"{self._folder(tenant)}/{n:012d}.json"))
 
     def revision(self, tenant: str) -> int:
-        return max((int(n[:-5]) for n in self._names(self._folder(tenant)) if n.endswith(".json") and not n.startswith(".")), default=0)
+        return max(self._numbers(tenant), default=0)
+
+    def _state(self, tenant: str, at: int | None = None) -> dict[str, list[tuple[str, int]]]:
+        """What is live at a revision: (folder, revision) of data and claims, from the last base on."""
+        numbers = [n for n in self._numbers(tenant) if at is None or n <= at]
+        base = max((n for n in numbers if n % BASE_EVERY == 0), default=0)
+        live: dict[str, list[tuple[str, int]]] = {"data": [], "claims": []}
+        for n in sorted(n for n in numbers if n >= base):
+            found = self._manifest(tenant, n)
+            if n == base:
+                live = {k: [(x, i) for x, i in found["base"][k]] for k in live}
+                continue
+            live = self._after(live, found, n)
+        return live
+
+    @staticmethod
+    def _after(live: dict, manifest: dict, n: int) -> dict:
+        return {k: [x for x in v if x[0] not in manifest.get(f"old_{k}", [])] + ([(manifest[k], n)] if manifest.get(k) else []) for k, v in live.items()}
 
     def _live(self, tenant: str, what: str) -> list[tuple[str, int]]:
-        found = self.manifests(tenant)
-        gone = {x for m in found for x in m.get(f"old_{what}", [])}
-        return [(m[what], m["n"]) for m in found if m.get(what) and m[what] not in gone]
+        return self._state(tenant)[what]
 
     def _publish(self, tenant: str, manifest: dict, after: int) -> int | None:
         n = after + 1
+        if n % BASE_EVERY == 0:
+            manifest = manifest | {"base": self._after(self._state(tenant, after), manifest, n)}
         return n if self._create(f"{self._folder(tenant)}/{n:012d}.json", json.dumps(manifest)) else None
 
+    def vacuum(self, tenant: str, now: datetime, older: timedelta = timedelta(days=1)) -> int:
+        """Delete folders that are no longer live, and manifests before the last base, if they are ``older``; returns how many.
+
+        Folders that no manifest names are commits that lost or are under way; age tells the former.
+        """
+        limit, gone = int((now - older).timestamp() * 1000), 0
+        numbers = self._numbers(tenant)
+        base = max((n for n in numbers if n % BASE_EVERY == 0), default=0)
+        state = self._state(tenant)
+        named = {k: {m[x] for n in numbers for m in [self._manifest(tenant, n)] for x in (k, f"old_{k}") if isinstance(m.get(x), str)} | {y for n in numbers for y in self._manifest(tenant, n).get(f"old_{k}", [])} for k in state}
+        for kind, folder in (("data", "data/"), ("claims", "ledger/ident=")):
+            for x in named[kind] - {x for x, _ in state[kind]}:
+                path = self._path(f"{folder}{x}")
+                if self._fs.exists(path) and self._fs.getFileStatus(path).getModificationTime() <= limit:
+                    gone += self._fs.delete(path, True)
+        for n in numbers:
+            path = self._path(f"{self._folder(tenant)}/{n:012d}.json")
+            if n < base and self._fs.getFileStatus(path).getModificationTime() <= limit:
+                gone += self._fs.delete(path, False)
+        return gone
+
     # Reading --------------------------------------------------------------------------------------------------------
     def deltas(self, tenant: str, since: int = 0) -> DataFrame:
         """All visible deltas with the revision that made each row visible; one scan over all files."""
@@ -106,20 +169,38 @@ class Store:
             return self.spark.createDataFrame([], DATA)
         rows = self.spark.read.schema(DATA).parquet(*[f"{self.root}/data/{x}" for x, _ in live])
         ident = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-        # One entry per live delta; compaction keeps them few.
-        numbers = F.create_map(*[v for x, n in live for v in (F.lit(x), F.lit(n).cast("long"))])
-        return rows.withColumn("revision", F.coalesce("revision", F.element_at(numbers, ident)))
+        numbers = F.broadcast(self.spark.createDataFrame(live, "_ident string, _n long"))
+        rows = rows.withColumn("_own", ident).join(numbers, F.col("_own") == F.col("_ident"))
+        return rows.withColumn("revision", F.coalesce("revision", "_n")).drop("_own", "_ident", "_n")
 
     def rollups(self, tenant: str) -> DataFrame:
-        return merge(self.deltas(tenant))
+        """Current rollups. A single delta, as compaction leaves it, has each key once: a plain scan, which filters reach."""
+        rows = self.deltas(tenant)
+        return rows if len(self._live(tenant, "data")) == 1 else merge(rows)
 
-    def ledger(self, tenant: str) -> DataFrame:
+    def ledger(self, tenant: str, first: datetime | None = None, last: datetime | None = None) -> DataFrame:
+        """Claims, of the days from ``first`` to ``last`` only where those are given."""
         live = self._live(tenant, "claims")
-        return self.spark.read.schema(CLAIMS).parquet(*[f"{self.root}/ledger/{x}" for x, _ in live]) if live else self.spark.createDataFrame([], CLAIMS)
+        if not live:
+            return self.spark.createDataFrame([], CLAIMS)
+        rows = self._claims([x for x, _ in live])
+        if first is not None:
+            rows = rows.where(F.col("day") >= _day(F.lit(first)))
+        if last is not None:
+            rows = rows.where(F.col("day") <= _day(F.lit(last)))
+        return rows.drop("day")
+
+    def _claims(self, idents: list[str]) -> DataFrame:
+        rows = self.spark.read.schema(f"{CLAIMS}, ident string, day date").option("basePath", f"{self.root}/ledger")
+        return rows.parquet(*[f"{self.root}/ledger/ident={x}" for x in idents]).drop("ident")
 
     def committed(self, claims: DataFrame, tenant: str) -> DataFrame:
         """Those of the claims that the ledger has."""
-        return claims.join(self.ledger(tenant), CLAIM, "left_semi")
+        first, last = claims.agg(F.min("window_start"), F.max("window_start")).first()
+        return claims.join(self.ledger(tenant, first, last), CLAIM, "left_semi")
+
+    def _write_claims(self, rows: DataFrame, ident: str) -> None:
+        rows.withColumn("day", _day(F.col("window_start"))).write.partitionBy("day").parquet(f"{self.root}/ledger/ident={ident}")
 
     # Writing --------------------------------------------------------------------------------------------------------
     def commit(self, tenant: str, rollups: DataFrame, claims: DataFrame, now: datetime, attempts: int = 20) -> int:
@@ -129,11 +210,11 @@ class Store:
         """
         ident = uuid.uuid4().hex
         rollups = rollups.select(*COLUMNS).withColumn("revision", F.lit(None).cast("long"))
-        rollups.write.parquet(f"{self.root}/data/{ident}")
+        rollups.sortWithinPartitions("metric", "window_start").write.parquet(f"{self.root}/data/{ident}")
         if self.spark.read.schema(DATA).parquet(f"{self.root}/data/{ident}").isEmpty():
             return self.revision(tenant)
-        claims.select(*CLAIM).distinct().withColumn("processed_at", F.lit(now).cast("timestamp")).write.parquet(f"{self.root}/ledger/{ident}")
-        own = self.spark.read.schema(CLAIMS).parquet(f"{self.root}/ledger/{ident}")
+        self._write_claims(claims.select(*CLAIM).distinct().withColumn("processed_at", F.lit(now).cast("timestamp")), ident)
+        own = self._claims([ident]).drop("day")
         for _ in range(attempts):
             at = self.revision(tenant)
             if not self.committed(own, tenant).isEmpty():
@@ -144,7 +225,10 @@ class Store:
 
     def _rewrite(self, tenant: str, kind: str, rows: DataFrame, replaced: list[str], at: int) -> bool:
         ident = uuid.uuid4().hex
-        rows.write.parquet(f"{self.root}/{'data' if kind == 'data' else 'ledger'}/{ident}")
+        if kind == "data":
+            rows.sortWithinPartitions("metric", "window_start").write.parquet(f"{self.root}/data/{ident}")
+        else:
+            self._write_claims(rows, ident)
         return self._publish(tenant, {kind: ident, f"old_{kind}": replaced}, at) is not None
 
     def compact(self, tenant: str, keep_after: datetime | None = None) -> bool:
@@ -165,15 +249,34 @@ class Store:
         return self._rewrite(tenant, "claims", rows, live, at)
 
     # Change feed ----------------------------------------------------------------------------------------------------
-    def changes(self, tenant: str, cursor: Cursor, limit: int = 1000, budget: int = MAX_CHANGE_BYTES) -> DataFrame:
-        return change_page(self.deltas(tenant), cursor, limit, budget)
+    def changes(self, tenant: str, cursor: Cursor, limit: int = 1000, budget: int = MAX_CHANGE_BYTES, metric: str | None = None) -> DataFrame:
+        """A page of changes; ``ValueError`` where a single row exceeds the byte budget, which no page could hold."""
+        page = change_page(self.deltas(tenant), cursor, limit, budget, metric).cache()
+        first = page.limit(1).withColumn("cost", cost(page)).first()
+        if first is not None and first["cost"] > budget:
+            page.unpersist()
+            raise ValueError(f"a row of {first['cost']} bytes exceeds the budget of {budget}")
+        return page
+
+    def tail(self, tenant: str, metric: str | None = None, labels: dict[str, str] | None = None, polls: int | None = None, wait: Callable[[], None] = lambda: None) -> Iterator[list]:
+        """What changed since each poll before, from the newest revision on: a list of rows a poll, each key once with its current totals."""
+        cursor, n = Cursor(self.revision(tenant)), 0
+        while polls is None or n < polls:
+            wait()
+            found = []
+            while page := self.changes(tenant, cursor, metric=metric).collect():
+                found, cursor = found + page, next_cursor(page)
+            yield [r for r in found if all((r["labels"] or {}).get(k) == v for k, v in (labels or {}).items())]
+            n += 1
 
 
-def change_page(deltas: DataFrame, cursor: Cursor, limit: int = 1000, budget: int | None = MAX_CHANGE_BYTES) -> DataFrame:
+def change_page(deltas: DataFrame, cursor: Cursor, limit: int = 1000, budget: int | None = MAX_CHANGE_BYTES, metric: str | None = None) -> DataFrame:
     """Current totals of the keys that changed after ``cursor``, in keyset order, up to ``limit`` rows and a byte budget."""
     from pyspark.sql import Window
 
     limit = limit if 0 < limit <= 1000 else 1000
+    if metric is not None:
+        deltas = deltas.where(F.col("metric") == metric)
     touched = deltas.where(F.col("revision") >= cursor.revision).select(*KEY).distinct()
     rows = merge(deltas.join(touched, list(KEY), "left_semi"))
     order = ["revision", "metric", "kind", "label_hash", "window_start"]
@@ -183,7 +286,7 @@ def change_page(deltas: DataFrame, cursor: Cursor, limit: int = 1000, budget: in
     if budget is None:
         return page
     run = F.sum(cost(page)).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    # The first row always passes; a caller that gets a single row over the budget reports it.
+    # The first row always passes: a caller that gets a row over the budget reports it.
     number = F.row_number().over(Window.orderBy(*order))
     return page.withColumns({"_run": run, "_nth": number}).where((F.col("_run") <= budget) | (F.col("_nth") == 1)).drop("_run", "_nth")
 

@@ -7,6 +7,7 @@ windows that were written before, and nothing is dropped. A micro-batch that run
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime, timedelta
 
 import pandas as pd
@@ -17,32 +18,40 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewell.functions import validate as V
 from tidewell.functions.labels import label_hash
+from tidewell.functions.windows import start_of
 from tidewell.operators import ledger, rollup
 from tidewell.plans.store import Conflict, Store
 from tidewell.schema import SERIES
 from tidewell.sources import points as P
 
 
+#: Tenants that commit at a time.
+COMMITS = 4
 #: Session setting: false for one watermark for late rows and closing.
 ONE_WATERMARK = "spark.sql.streaming.statefulOperator.allowMultiple"
 
 
 def fold(store: Store, points: DataFrame, seconds: int, now: datetime, attempts: int = 3) -> dict[str, int]:
-    """Commit the points that the ledger does not have; returns the revision per tenant. Tenants commit independently."""
+    """Commit the points that the ledger does not have; returns the revision per tenant. Tenants commit independently, some at a time."""
     points = ledger.first_delivery(points).persist()
+
+    def commit(tenant: str, first: datetime, last: datetime) -> int:
+        own = points.where(F.col("tenant_id") == tenant)
+        for attempt in range(attempts):
+            fresh = ledger.uncommitted(own, store.ledger(tenant, first, last), seconds)
+            try:
+                return store.commit(tenant, rollup.build(fresh, seconds), ledger.claims(fresh, seconds), now)
+            except Conflict:
+                if attempt == attempts - 1:
+                    raise
+        raise AssertionError("no attempts")
+
     try:
-        done = {}
-        for tenant in sorted(r[0] for r in points.select("tenant_id").distinct().collect()):
-            own = points.where(F.col("tenant_id") == tenant)
-            for attempt in range(attempts):
-                fresh = ledger.uncommitted(own, store.ledger(tenant), seconds)
-                try:
-                    done[tenant] = store.commit(tenant, rollup.build(fresh, seconds), ledger.claims(fresh, seconds), now)
-                    break
-                except Conflict:
-                    if attempt == attempts - 1:
-                        raise
-        return done
+        window = start_of(F.col("timestamp").cast("timestamp"), seconds)
+        found = points.groupBy("tenant_id").agg(F.min(window).alias("first"), F.max(window).alias("last")).collect()
+        with ThreadPoolExecutor(min(COMMITS, len(found) or 1)) as pool:
+            done = {r["tenant_id"]: pool.submit(commit, r["tenant_id"], r["first"], r["last"]) for r in sorted(found)}
+            return {tenant: f.result() for tenant, f in done.items()}
     finally:
         points.unpersist()
 
