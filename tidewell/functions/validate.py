@@ -26,9 +26,9 @@ _CONTROL = r"[\x00-\x1f\x7f]"
 
 
 def identity_ok(c: Column) -> Column:
-    """Non-empty, at most 255 bytes, no outer white space, no control characters."""
+    """Non-empty, at most 255 bytes of UTF-8, no outer white space, no control characters."""
     edge = r"(?U)^\s|\s\z"
-    return F.coalesce((c != "") & (F.octet_length(c) <= MAX_IDENTITY_BYTES) & ~c.rlike(edge) & ~c.rlike(_CONTROL), F.lit(False))
+    return F.coalesce((c != "") & (F.octet_length(c) <= MAX_IDENTITY_BYTES) & F.is_valid_utf8(c) & ~c.rlike(edge) & ~c.rlike(_CONTROL), F.lit(False))
 
 
 def metric_rule(c: Column) -> Column:
@@ -73,6 +73,7 @@ def label_rules(labels: Column) -> Column:
             .when(F.octet_length(k) > MAX_KEY_BYTES, "key-length")
             .when(~k.rlike(_KEY), "key-grammar")
             .when(F.octet_length(v) > MAX_VALUE_BYTES, "value-length")
+            .when(~F.is_valid_utf8(v), "value-utf8")
             .when(v.rlike(_CONTROL), "value-control")
         )
         return F.concat(F.lit("labels."), k, F.lit(":"), found)

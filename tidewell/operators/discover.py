@@ -31,6 +31,6 @@ def metric_names(rollups: DataFrame, tenant: str, limit: int = 500) -> DataFrame
     return rollups.where(F.col("tenant_id") == tenant).select("metric").distinct().orderBy("metric").limit(limit if limit > 0 else 500)
 
 
-def series_stats(points: DataFrame) -> DataFrame:
+def series_stats(points: DataFrame, keys: tuple[str, ...] = ("kind", "label_hash")) -> DataFrame:
     """Latest value, extremes and count per series, for display."""
-    return points.groupBy("kind", "label_hash").agg(F.max_by("v", "t").alias("latest"), F.min("v").alias("min"), F.max("v").alias("max"), F.count(F.lit(1)).alias("n"))
+    return points.groupBy(*keys).agg(F.max_by("v", "t").alias("latest"), F.min("v").alias("min"), F.max("v").alias("max"), F.count(F.lit(1)).alias("n"))

@@ -19,9 +19,10 @@ def _micros(c: str) -> Column:
 def median_delta(points: DataFrame, keys: list[str] = SERIES) -> DataFrame:
     """Element ``floor(n / 2)`` of the sorted positive gaps of a series, in microseconds; null if there are none."""
     delta = _micros("t") - F.lag(_micros("t")).over(_place(keys))
-    rows = points.withColumn("delta", delta).where("delta > 0")
-    found = F.sort_array(F.collect_list("delta"))
-    return rows.groupBy(*keys).agg(F.get(found, F.floor(F.size(found) / 2).cast("int")).alias("interval"))
+    counts = points.select(*keys, delta.alias("delta")).where("delta > 0").groupBy(*keys, "delta").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(*keys)
+    run = counts.withColumns({"upto": F.sum("n").over(w.orderBy("delta")), "all": F.sum("n").over(w)})
+    return run.where(F.col("upto") > F.floor(F.col("all") / 2)).groupBy(*keys).agg(F.min("delta").alias("interval"))
 
 
 def segments(points: DataFrame, keys: list[str] = SERIES) -> DataFrame:
@@ -59,11 +60,11 @@ def csv_number(c: Column) -> Column:
     return F.concat(F.lit('"'), c.cast("string"), F.lit('"'))
 
 
-def csv_lines(points: DataFrame, metric: str, labels_json: Column, truncated: bool = False) -> DataFrame:
+def csv_lines(points: DataFrame, metric: str | Column, labels_json: Column, truncated: bool = False) -> DataFrame:
     """Six quoted columns per point; lines end with CR LF when joined. The header is ``CSV_HEADER``."""
     stamp = F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     flag = F.lit('"true"' if truncated else '"false"')
-    return points.select("kind", "label_hash", "t", F.concat_ws(",", csv_cell(F.lit(metric)), csv_cell(F.col("kind")), csv_cell(labels_json), csv_cell(stamp), csv_number(F.col("v")), flag).alias("line"))
+    return points.select("kind", "label_hash", "t", F.concat_ws(",", csv_cell(metric if isinstance(metric, Column) else F.lit(metric)), csv_cell(F.col("kind")), csv_cell(labels_json), csv_cell(stamp), csv_number(F.col("v")), flag).alias("line"))
 
 
 CSV_HEADER = "metric,kind,labels,window_start,value,truncated"

@@ -169,7 +169,7 @@ def stream_event(spark, sf):
 def corrupted(spark, sf) -> DataFrame:
     """Events broken in a different way by event_id, one rule each."""
     p = _points(spark, sf)
-    n = F.col("event_id") % 23
+    n = F.col("event_id") % 26
     pick = lambda cases, other: reduce(lambda a, kv: a.when(n == kv[0], kv[1]), cases.items(), F.when(F.lit(False), other)).otherwise(other)
     metric = pick({1: F.lit(""), 2: F.lit("x" * 201), 3: F.lit("9bad"), 4: F.lit("a..b"), 5: F.lit("a."), 6: F.lit("né")}, F.col("metric"))
     kind = pick({7: F.lit(""), 8: F.lit("Gauge"), 9: F.lit("counter")}, F.col("kind"))
@@ -177,7 +177,7 @@ def corrupted(spark, sf) -> DataFrame:
     ts = pick({14: F.lit(None).cast("timestamp"), 15: F.lit(datetime(1600, 1, 1, tzinfo=UTC)).cast("timestamp"), 16: F.lit(NOW + timedelta(minutes=5)).cast("timestamp")}, F.col("timestamp"))
     one = lambda k, v: F.create_map(F.lit(k), F.lit(v))
     many = F.map_from_arrays(F.transform(F.sequence(F.lit(1), F.lit(21)), lambda i: F.concat(F.lit("l"), i.cast("string"))), F.array_repeat(F.lit("v"), 21))
-    labels = pick({17: one("", "v"), 18: one("__own", "v"), 19: one("k" * 65, "v"), 20: one("a-b", "v"), 21: one("a", "é" * 129), 22: many}, F.col("labels"))
+    labels = pick({17: one("", "v"), 18: one("__own", "v"), 19: one("k" * 65, "v"), 20: one("a-b", "v"), 21: one("a", "é" * 129), 22: many, 23: one("a", "x\ty"), 24: F.create_map(F.lit("a"), F.unhex(F.lit("61FF")).cast("string"))}, F.col("labels"))
     return p.withColumns({"metric": metric, "kind": kind, "value": value, "timestamp": ts, "labels": labels})
 
 
@@ -230,8 +230,8 @@ def batch_windows(spark, sf):
 
 
 def _deltas(spark, sf) -> DataFrame:
-    """Ten deltas of a tenant: batches by number, revision by delta."""
-    p = _points(spark, sf).where(F.col("tenant_id") == TENANT).withColumn("delta", (F.substring_index("batch_id", "-", -1).cast("long") % 10 + 1))
+    """Ten deltas of every tenant: batches by number, revision by delta."""
+    p = _points(spark, sf).withColumn("delta", (F.substring_index("batch_id", "-", -1).cast("long") % 10 + 1))
     w = rollup.windowed(p, 24 * HOUR)
     r = w.groupBy("delta", *_SERIES).agg(F.count(F.lit(1)).alias("count"), F.sum("value").alias("sum"), F.min("value").alias("min"), F.max("value").alias("max"), F.max(F.struct("timestamp", "value")).alias("l"), F.first("labels").alias("labels"))
     return r.select(
@@ -241,13 +241,28 @@ def _deltas(spark, sf) -> DataFrame:
 
 
 def change_feed_page(spark, sf):
-    page = change_page(_deltas(spark, sf), Cursor(8, METRIC, "histogram", "8", datetime(2024, 1, 10, tzinfo=UTC)), 200, None)
+    """A page of a tenant's feed, which the byte budget cuts."""
+    own = _deltas(spark, sf).where(F.col("tenant_id") == TENANT)
+    page = change_page(own, Cursor(8, METRIC, "histogram", "8", datetime(2024, 1, 10, tzinfo=UTC)))
     return page.select("revision", "metric", "kind", "label_hash", "window_start", "count", _round("sum"), "last")
 
 
+def change_feed_metric(spark, sf):
+    """The same of one metric, cut by rows."""
+    own = _deltas(spark, sf).where(F.col("tenant_id") == TENANT)
+    page = change_page(own, Cursor(3, METRIC, "histogram", "8", datetime(2024, 1, 10, tzinfo=UTC)), 60, metric=METRIC)
+    return page.select("revision", "metric", "kind", "label_hash", "window_start", "count", _round("sum"), "last")
+
+
+def sse_frames(spark, sf):
+    return query.sse_frames(rollup.merge(_deltas(spark, sf)).withColumns({c: F.round(c, 6) for c in ("sum", "min", "max", "last")}))
+
+
 def newest_revision(spark, sf):
-    d = _deltas(spark, sf)
-    return d.agg(F.coalesce(F.max("revision"), F.lit(0).cast("long")).alias("newest"), F.coalesce(F.max(F.when(F.col("metric") == "none", F.col("revision"))), F.lit(0).cast("long")).alias("none"))
+    """Per tenant, of all metrics and of one that not every delta has; 0 for a metric without rows."""
+    newest = lambda metric: F.coalesce(F.max(F.when(metric, F.col("revision"))), F.lit(0).cast("long"))
+    d = _deltas(spark, sf).groupBy("tenant_id")
+    return d.agg(newest(F.lit(True)).alias("newest"), newest((F.col("metric") == "events.error") & (F.col("revision") < 8)).alias("older_error"), newest(F.col("metric") == "none").alias("none"))
 
 
 def store_merge(spark, sf):
@@ -275,17 +290,21 @@ def idempotent_requests(spark, sf):
 
 
 # Display ---------------------------------------------------------------------------------------------------------------
+_OWN = ["tenant_id", "metric", "kind", "label_hash"]
+
+
 def _answer(spark, sf) -> DataFrame:
-    r = rollup.scalars(_points(spark, sf), HOUR).where((F.col("tenant_id") == TENANT) & (F.col("metric") == METRIC))
-    return r.select("kind", "label_hash", "labels", F.col("window_start").alias("t"), (F.col("sum") / F.col("count")).alias("v"))
+    """Averages by hour of all series."""
+    r = rollup.scalars(_points(spark, sf), HOUR)
+    return r.select(*_OWN, "labels", F.col("window_start").alias("t"), (F.col("sum") / F.col("count")).alias("v"))
 
 
 def gap_segments(spark, sf):
-    return display.segments(_answer(spark, sf)).select("kind", "label_hash", "t", "segment")
+    return display.segments(_answer(spark, sf), _OWN).select(*_OWN, "t", "segment")
 
 
 def median_interval(spark, sf):
-    return display.median_delta(_answer(spark, sf))
+    return display.median_delta(_answer(spark, sf), _OWN)
 
 
 def _dense(spark, sf) -> DataFrame:
@@ -299,7 +318,7 @@ def decimate(spark, sf):
 
 
 def csv_export(spark, sf):
-    return display.csv_lines(_answer(spark, sf).withColumn("v", F.lit(1.5)), METRIC, L.canonical_json(F.col("labels"))).select("line")
+    return display.csv_lines(_answer(spark, sf).withColumn("v", F.round("v", 3)), F.col("metric"), L.canonical_json(F.col("labels"))).select("line")
 
 
 def csv_guard(spark, sf):
@@ -309,12 +328,12 @@ def csv_guard(spark, sf):
 
 
 def series_stats(spark, sf):
-    return discover.series_stats(_answer(spark, sf)).select("kind", "label_hash", _round("latest"), _round("min"), _round("max"), "n")
+    return discover.series_stats(_answer(spark, sf), tuple(_OWN)).select(*_OWN, _round("latest"), _round("min"), _round("max"), "n")
 
 
 def nearest_point(spark, sf):
-    out = display.nearest(_answer(spark, sf), F.lit(datetime(2024, 1, 12, 12, 0, tzinfo=UTC)).cast("timestamp"))
-    return out.select("kind", "label_hash", "t", _round("v"))
+    out = display.nearest(_answer(spark, sf), F.lit(datetime(2024, 1, 12, 12, 0, tzinfo=UTC)).cast("timestamp"), _OWN)
+    return out.select(*_OWN, "t", _round("v"))
 
 
 def reconcile(spark, sf):
@@ -334,7 +353,7 @@ def pressure_rollup(spark, sf):
 
 
 def table_fingerprint(spark, sf):
-    return display.fingerprint(rollup.scalars(_points(spark, sf), 24 * HOUR).select("tenant_id", "metric", "window_start", "count")).select("rows")
+    return display.fingerprint(rollup.scalars(_points(spark, sf), 24 * HOUR).select("tenant_id", "metric", "window_start", "count"))
 
 
 QUERIES = {
@@ -343,7 +362,7 @@ QUERIES = {
     "filter_labels": filter_labels, "scan_newest": scan_newest, "scan_plain": scan_plain, "metrics_summary": metrics_summary, "label_keys": label_keys, "label_values": label_values, "metric_names": metric_names,
     "series_search": series_search, "query_capped": _capped("sum", 7, 40, 400), "query_quantile": _capped("p95", 500, 50_000, 50_001), "kind_roll_up": kind_roll_up, "read_budget": read_budget, "stream_event": stream_event,
     "validate_points": validate_points, "partial_success": partial_success, "envelope_round_trip": envelope_round_trip, "envelope_faults": envelope_faults, "dedup_ledger": dedup_ledger,
-    "claims_committed": claims_committed, "batch_windows": batch_windows, "change_feed_page": change_feed_page, "newest_revision": newest_revision, "store_merge": store_merge, "retention": retention,
+    "claims_committed": claims_committed, "batch_windows": batch_windows, "change_feed_page": change_feed_page, "change_feed_metric": change_feed_metric, "sse_frames": sse_frames, "newest_revision": newest_revision, "store_merge": store_merge, "retention": retention,
     "idempotent_requests": idempotent_requests, "gap_segments": gap_segments, "median_interval": median_interval, "decimate": decimate, "csv_export": csv_export, "csv_guard": csv_guard, "series_stats": series_stats,
     "nearest_point": nearest_point, "reconcile": reconcile, "pressure_rollup": pressure_rollup, "table_fingerprint": table_fingerprint,
 }
