@@ -62,7 +62,9 @@ def encode_envelopes(points: DataFrame) -> DataFrame:
     body = F.array_join(F.transform("v", lambda x: x["p"]), ",")
     head = F.to_json(F.struct(F.lit(VERSION).alias("schema_version"), "batch_id", "tenant_id", stamp(F.col("received_at")).alias("received_at")))
     text = F.concat(F.expr("substring(head, 1, length(head) - 1)"), F.lit(',"points":['), body, F.lit("]}"))
-    return rows.withColumn("head", head).select("tenant_id", "batch_id", text.alias("envelope"))
+    # An envelope that no reader would take is an error of the writer.
+    bounded = F.when(F.octet_length(text) <= MAX_ENVELOPE_BYTES, text).otherwise(F.raise_error(F.concat(F.lit("envelope too large: "), F.col("batch_id"))))
+    return rows.withColumn("head", head).select("tenant_id", "batch_id", bounded.alias("envelope"))
 
 
 def decode_envelopes(df: DataFrame, column: str = "envelope") -> DataFrame:
@@ -126,3 +128,22 @@ def random_load(spark: SparkSession, n: int, at: datetime, seed: int = 0, hosts:
         (F.col("id") % 500).cast("int").alias("idx"), F.lit("load.latency").alias("metric"), F.lit("histogram").alias("kind"), F.round(value, 2).alias("value"),
         F.timestamp_micros(F.lit(int(at.timestamp() * 1e6)) + F.col("id") * 1000).alias("timestamp"), labels.alias("labels"),
     )
+
+
+def stream_batches(spark: SparkSession, folder: str, tenant: str) -> DataFrame:
+    """A stream of points from JSON batch documents that arrive in a folder, one file each; they count as received when read."""
+    rows = spark.readStream.schema(f"batch_id string, points array<struct<{POINT_JSON}>>").option("multiLine", "true").json(folder)
+    return _points(rows.withColumns({"tenant_id": F.lit(tenant), "received_at": F.current_timestamp()}))
+
+
+def publish(points: DataFrame, folder: str) -> None:
+    """Append the envelopes of ``points`` to a landing folder, a line each; ``subscribe`` reads it as a stream.
+
+    Files appear whole, as Spark commits them; the same batch published again is one more delivery, which the ledger drops.
+    """
+    encode_envelopes(points).select("envelope").write.mode("append").text(folder)
+
+
+def subscribe(spark: SparkSession, folder: str, per_trigger: int = 1000) -> DataFrame:
+    """The envelopes of a landing folder as a stream."""
+    return spark.readStream.option("maxFilesPerTrigger", per_trigger).text(folder).withColumnRenamed("value", "envelope")
