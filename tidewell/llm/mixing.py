@@ -9,11 +9,12 @@
    hypergeometric draw and every block ends in one shard. Blocks are disjoint; rows are then shuffled within their shard.
 
 Prefix sums run over (source, cell) with cells dealt by hash, then over the cells of a source, so that a source with most
-of the rows is spread over many tasks. The number of cells follows the number of rows. All decisions are hashes of
-(seed, doc_id), so reruns agree. Only DataFrame functions run.
+of the rows is spread over many tasks. The number of cells is about the square root of the number of rows. All decisions are
+hashes of (seed, doc_id, text), so reruns agree, and rows without doc_id spread like others. Only DataFrame functions run.
 
 A null text has size 0, null source is a source, an empty table gives an empty result; rows with equal doc_id are separate rows,
-and other columns pass through ``mixed_rows`` whatever their names.
+and other columns pass through ``mixed_rows`` whatever their names. Only rows equal in doc_id, source and text stay together.
+Windows over sources, of which there is a row each, run in one task.
 """
 
 from __future__ import annotations
@@ -28,8 +29,7 @@ WEIGHTS = (5, 2, 1)
 #: Shards follow the number of rows, 2^3 to 2^14 of them; blocks are 16 per shard, 4,096 at least.
 ROWS_PER_SHARD, LEAST_LEVELS, MOST_LEVELS = 8192, 3, 14
 BLOCKS, BLOCKS_PER_SHARD = 4096, 16
-ROWS_PER_CELL = 2048
-MOST_CELLS = 4096
+LEAST_CELLS = 16
 
 
 def _hash(seed: int, what: str, *cols: Column) -> Column:
@@ -75,17 +75,17 @@ def block_shards(goals: DataFrame, seed: int, levels: int = LEAST_LEVELS, blocks
 
 def plan(docs: DataFrame, size: Column, seed: int = 0, weights=WEIGHTS, budget: float = 1.5, cap: float = 2.0) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, and the block and shard of each copy."""
-    sizes = keep(docs.select("doc_id", "source", size.alias("size")), "mix-sizes")
+    sizes = keep(docs.select("doc_id", "source", F.xxhash64("text").alias("version"), size.alias("size")), "mix-sizes")
     n = sizes.count()
-    cells = min(MOST_CELLS, max(16, 2 ** (n // ROWS_PER_CELL).bit_length()))
+    cells = max(LEAST_CELLS, 1 << (n.bit_length() + 1) // 2)
     levels = min(MOST_LEVELS, max(LEAST_LEVELS, (n // ROWS_PER_SHARD).bit_length()))
     blocks = max(BLOCKS, BLOCKS_PER_SHARD << levels)
     goals = targets(sizes, weights, budget, cap)
     goals = keep(goals.join(block_shards(goals, seed, levels, blocks).withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s"), "mix-goals")
-    rows = sizes.withColumns({"key": _hash(seed, "line", F.col("doc_id")), "cell": F.pmod(_hash(seed, "cell", F.col("doc_id")), F.lit(cells))})
+    rows = sizes.withColumns({"key": _hash(seed, "line", F.col("doc_id"), F.col("version")), "cell": F.pmod(_hash(seed, "cell", F.col("doc_id"), F.col("version")), F.lit(cells))})
     totals = rows.groupBy("source", "cell").agg(F.sum("size").alias("words"))
     starts = totals.select("source", "cell", (F.sum("words").over(Window.partitionBy("source").orderBy("cell")) - F.col("words")).alias("cell_start"))
-    inner = F.sum("size").over(Window.partitionBy("source", "cell").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    inner = F.sum("size").over(Window.partitionBy("source", "cell").orderBy("key", "doc_id", "version", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     named = starts.select(F.col("source").alias("_s"), F.col("cell").alias("_c"), "cell_start")
     rows = rows.withColumn("inner", inner)
     rows = rows.join(named, F.col("source").eqNullSafe(F.col("_s")) & (F.col("cell") == F.col("_c"))).drop("_s", "_c")
@@ -97,7 +97,7 @@ def plan(docs: DataFrame, size: Column, seed: int = 0, weights=WEIGHTS, budget:
     drawn = F.filter(drawn, lambda x: x["in"] & (F.col("size") > 0))
     shard = lambda b: F.get(F.col("shards"), F.least(b, F.size(F.col("shards")) - 1).cast("int"))
     drawn = F.transform(drawn, lambda x: F.struct(x["copy"].alias("copy"), x["block"].alias("block"), shard(x["block"]).alias("shard")))
-    return rows.select("doc_id", "source", "size", "source_size", "target", F.size(drawn).alias("copies"), drawn.alias("draws"))
+    return rows.select("doc_id", "source", "version", "size", "source_size", "target", F.size(drawn).alias("copies"), drawn.alias("draws"))
 
 
 def word_sizes() -> Column:
@@ -107,16 +107,17 @@ def word_sizes() -> Column:
 def mixed_rows(docs: DataFrame, seed: int = 0, **options) -> DataFrame:
     """The mix itself: a row of ``docs`` for every copy drawn, shuffled within its shard. Rows without words are not drawn.
 
-    Copies are looked up by doc_id; where several rows share one, each row takes the draws of its own place among them.
+    Copies are looked up by doc_id, source and text; where several rows share them, each takes the draws of its own place among them.
     """
     columns = docs.columns
-    key, nth = _hash(seed, "row", F.col("doc_id"), F.col("source")), F.row_number().over(Window.partitionBy("_k").orderBy("doc_id", "source", "size"))
+    key, nth = _hash(seed, "row", F.col("doc_id"), F.col("source"), F.col("version")), F.row_number().over(Window.partitionBy("_k").orderBy("doc_id", "source", "size"))
     draws = plan(docs, word_sizes(), seed, **options).withColumn("_k", key).withColumn("_n", nth).where("copies > 0").select(F.col("_k").alias("_d"), "_n", "draws")
     # The row is carried whole, so that its columns cannot clash with those of the plan. Both sides are dealt by one key that is
     # never null, so that the window and the join share a shuffle; the place among equal keys is no join key of its own.
-    rows = docs.select(key.alias("_k"), "doc_id", "source", word_sizes().alias("size"), F.struct(*columns).alias("_row")).withColumn("_nth", nth)
+    rows = docs.select("doc_id", "source", F.xxhash64("text").alias("version"), word_sizes().alias("size"), F.struct(*columns).alias("_row"))
+    rows = rows.select(key.alias("_k"), "doc_id", "source", "size", "_row").withColumn("_nth", nth)
     out = rows.join(draws, (F.col("_k") == F.col("_d")) & (F.col("_nth") - F.col("_n") == 0)).select("_row", F.explode("draws").alias("_draw"))
-    order = _hash(seed, "shuffle", F.col("_row.doc_id"), F.col("_draw.copy"))
+    order = _hash(seed, "shuffle", F.col("_row.doc_id"), F.col("_row.text"), F.col("_draw.copy"))
     return out.repartition("_draw.shard").sortWithinPartitions("_draw.shard", order).select("_row.*")
 
 

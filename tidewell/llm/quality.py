@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.scratch import drop, keep
+from tidewell.llm.scratch import keep
 from tidewell.llm.words import words_of
 
 SYMBOLS = "#*$%&|<>"
@@ -147,15 +147,19 @@ def judged(features: DataFrame, limits: DataFrame) -> DataFrame:
     return both.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True))).drop("_lang", "_source")
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """Bounds of a corpus, written once: they are as small as its number of (lang, source) groups."""
-    return keep(bounds(sketch(with_features(docs.select("text", "lang", "source")))), "quality-bounds")
-
-
 def apply_rules(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that the rules reject; texts are read twice and never shuffled."""
+    """``docs`` without the rows that the rules reject; texts are measured once and never shuffled.
+
+    Rows that pass the base rule are written with their counts, and judged when all counts are known. The explode keeps the filter
+    behind the counts, which would be computed for it once more otherwise.
+    """
     rows = docs.select("text", "lang", "source", F.struct(*docs.columns).alias("_row"))
-    return judged(with_features(rows), measure(docs)).where("kept").select("_row.*")
+    rows = with_features(rows)
+    counts = [c for c in rows.columns if c not in ("text", "lang", "source", "_row")]
+    rows = rows.select("lang", "source", "_row", F.explode(F.array(F.struct(*counts))).alias("_counts")).where("NOT _counts.base_failed")
+    rows = keep(rows.select("lang", "source", "_row", "_counts.*"), "quality-features")
+    limits = keep(bounds(sketch(rows.drop("_row"))), "quality-bounds")
+    return judged(rows, limits).where("kept").select("_row.*")
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -165,4 +169,4 @@ def judge(docs: DataFrame) -> DataFrame:
     return judged(features, limits)
 
 
-__all__ = ["apply_rules", "bounds", "drop", "judge", "judged", "measure", "metric", "quartiles", "sketch", "with_features"]
+__all__ = ["apply_rules", "bounds", "judge", "judged", "metric", "quartiles", "sketch", "with_features"]
