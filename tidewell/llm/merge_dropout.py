@@ -38,7 +38,7 @@ DROPOUT, SEED = 0.1, 20
 #: Words that an encoder with variants remembers in each of two generations.
 CACHE_ENTRIES = 250_000
 #: Agendas that an encoder remembers before it starts anew, and words that go through them at a time.
-AGENDAS, WORDS_AT_ONCE = 400_000, 100_000
+AGENDAS, WORDS_AT_ONCE = 250_000, 50_000
 LONG_WORD = 100
 NEVER = np.int64(2**31 - 1)
 _PLACES = 1 << 12
@@ -392,6 +392,30 @@ def encode(docs: DataFrame, model: str | None = None, dropout: float = DROPOUT,
     return docs.mapInArrow(run, schema)
 
 
+def decodes(enc: Encoder, texts: list[str], ids: list[bytes]) -> list[bool]:
+    """Whether the ids of each text decode to it."""
+    return [enc.decode(x) == t.encode() for x, t in zip(ids, texts, strict=True)]
+
+
+def encode_checked(docs: DataFrame, model: str | None = None, dropout: float = DROPOUT, seed: int = SEED, per_batch: int = 512) -> DataFrame:
+    """``docs`` with ``piece_ids`` and ``lossless``: encoded and decoded again by one worker, which holds the model once."""
+    key = (model or model_path(), dropout, None, seed)
+    docs = docs.drop("piece_ids", "lossless")
+    schema = T.StructType([*docs.schema.fields, T.StructField("piece_ids", T.BinaryType()), T.StructField("lossless", T.BooleanType())])
+    t, d = docs.columns.index("text"), docs.columns.index("doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(*key)
+        for whole in batches:
+            for i in range(0, whole.num_rows, per_batch):
+                batch = whole.slice(i, per_batch)
+                texts = [x or "" for x in batch.column(t).to_pylist()]
+                ids = enc(texts, [place_of(x, seed) for x in batch.column(d).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary()), pa.array(decodes(enc, texts, ids))], names=[*batch.schema.names, "piece_ids", "lossless"])
+
+    return docs.mapInArrow(run, schema)
+
+
 def decode(pieces: DataFrame, model: str | None = None) -> DataFrame:
     """``pieces`` with ``decoded``, the text of ``piece_ids``."""
     key = (model or model_path(), 0.0)
