@@ -9,7 +9,6 @@ texts and on every row that their predecessor kept. A document drawn twice by th
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidewell.llm import chosen_path, fuzzy_lines, merge_dropout, mixing, quality
 from tidewell.llm.scratch import drop, keep, small_batches
@@ -46,8 +45,7 @@ def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Piece ids of every text, and whether they decode to it. Null text encodes and decodes as the empty text; repeated rows encode
     alike; extra columns pass through but for ``text``; an empty table stays empty."""
     small_batches(spark)
-    back = merge_dropout.decode(merge_dropout.encode(docs))
-    return back.withColumn("lossless", F.col("decoded") == F.coalesce("text", F.lit(""))).drop("text", "decoded")
+    return merge_dropout.encode_checked(docs).drop("text")
 
 
 STAGES = [
