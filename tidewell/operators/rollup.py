@@ -88,21 +88,19 @@ def merge(*parts: DataFrame) -> DataFrame:
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     extra = ["revision"] if "revision" in rows.columns else []
     scalar = ["window_end", *SCALARS, *extra]
+    # The scalars ride with the first slot, or with none where there is no vector; other slots carry nothing else.
     vector = F.when(F.size("buckets") == H.SLOTS, F.col("buckets"))
-    slots = F.filter(F.transform(vector, lambda n, i: F.struct(i.alias("slot"), n.alias("n"))), lambda x: x["n"] != 0)
-    # The scalars ride with slot -1, whose count tells how many vectors there were; other slots carry nothing else.
-    own = F.struct(F.lit(-1).alias("slot"), vector.isNotNull().cast("long").alias("n"))
-    rows = rows.select(*KEY, "labels", *scalar, F.explode(F.concat(F.array(own), F.coalesce(slots, F.array().cast("array<struct<slot:int,n:bigint>>")))).alias("e"))
-    here = lambda c: F.when(F.col("e.slot") < 0, F.col(c))
-    rows = rows.select(*KEY, "labels", *[here(c).alias(c) for c in scalar], F.col("e.slot").alias("slot"), F.col("e.n").alias("n"))
+    rows = rows.select(*KEY, "labels", *scalar, F.posexplode_outer(vector).alias("slot", "n")).where("slot IS NULL OR slot = 0 OR n <> 0")
+    first = F.coalesce("slot", F.lit(0)) == 0
+    rows = rows.select(*KEY, "labels", *[F.when(first, F.col(c)).alias(c) for c in scalar], "slot", "n", F.when(F.col("slot") == 0, 1).alias("vectors"))
 
     def added(n):
         top = [F.max(c).alias(c) for c in ("window_end", *extra)]
         return [*top, F.sum("count").alias("count"), F.sum("sum").alias("sum"), F.min("min").alias("min"), F.max("max").alias("max"), *_latest(F.col("last_event_at"), F.col("last")), *n]
 
-    by_slot = rows.groupBy(*KEY, "labels", "slot").agg(*added([F.sum("n").alias("n")]))
-    entry = F.when(F.col("slot") >= 0, F.struct("slot", "n"))
-    out = by_slot.groupBy(*KEY, "labels").agg(*added([F.map_from_entries(F.collect_list(entry)).alias("sparse"), F.sum(F.when(F.col("slot") < 0, F.col("n"))).alias("vectors")]))
+    by_slot = rows.groupBy(*KEY, "labels", "slot").agg(*added([F.sum("n").alias("n"), F.sum("vectors").alias("vectors")]))
+    entry = F.when(F.col("n") != 0, F.struct("slot", "n"))
+    out = by_slot.groupBy(*KEY, "labels").agg(*added([F.map_from_entries(F.collect_list(entry)).alias("sparse"), F.sum("vectors").alias("vectors")]))
     return out.withColumn("buckets", F.when(F.col("vectors") > 0, H.dense(F.col("sparse")))).select(*COLUMNS, *extra)
 
 
