@@ -136,9 +136,10 @@ class Encoder:
         #: A word and what follows it; the tokenizer always cuts between letters and other characters.
         self.core = re.compile(r" [A-Za-zÀ-ÖØ-öø-ſ]+(?=[\x00-@\[-`{-~]|$)").match
         self.space = self.model.pre_tokenizer.pre_tokenize_str(" ")[0][0]
-        #: White space around white space, and tokens that the library finds before it cuts a text.
-        added = sorted(re.escape(t.content) for t in self.model.get_added_tokens_decoder().values())
-        self.unsafe = re.compile("|".join([r"\s \s", *added])).search
+        #: A space with white space on both sides; it begins with a literal, for which the search is quick.
+        self.spaced = re.compile(r" (?=\s)(?<=\s )").search
+        #: Tokens that the library finds before it cuts a text.
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
 
     def learn(self, pieces: list[str]) -> None:
         """Words of plain letters go straight to the model's merges; the rest through the whole tokenizer."""
@@ -152,6 +153,9 @@ class Encoder:
             part = rest[i : i + 50_000]
             self.known.update(zip(part, self.whole(part), strict=True))
 
+    def unsafe(self, text: str) -> bool:
+        return bool(self.spaced(text)) or any(x in text for x in self.added)
+
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -163,7 +167,7 @@ class Encoder:
         if len(self.known) > CACHE_ENTRIES:
             self.older, self.known = self.known, {}
         known, recall, split, missing = self.known, self.older.get, [], set()
-        for x in set().union(*[c for c in cut if c]) - known.keys():
+        for x in [x for x in set().union(*[c for c in cut if c]) if x not in known]:
             if ids := recall(x):
                 known[x] = ids
             elif (m := self.core(x)) and m.end() < len(x):

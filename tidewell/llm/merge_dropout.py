@@ -301,7 +301,7 @@ class Encoder:
         if len(self.agendas.ids) > AGENDAS:
             self.agendas = Agendas(self.line, self.mark)
         known = self.agendas
-        self._learn(list(set(words) - known.number.keys()))
+        self._learn([w for w in set(words) if w not in known.number])
         at = np.fromiter(map(known.number.__getitem__, words), np.int64, len(words))
         out = list(map(known.ids.__getitem__, at.tolist()))
         own = [i for i, x in enumerate(out) if x is None]
@@ -338,7 +338,7 @@ class Encoder:
         if len(self.known) > CACHE_ENTRIES:
             self.older, self.known = self.known, {}
         known, older, missing = self.known, self.older, []
-        for w in wanted - known.keys():
+        for w in [w for w in wanted if w not in known]:
             if w in older:
                 known[w] = older[w]
             else:
