@@ -251,7 +251,7 @@ def test_occurrences_are_ordered_by_time_and_value(spark):
     values += [math.ldexp(rnd.random() + 0.5, rnd.randint(-1060, 1020)) for _ in range(200)] + [2.0**k for k in range(-1074, 1024, 7)]
     values = sorted({*values, *(-v for v in values)})
     df = spark.createDataFrame([(i, t, v) for i, (t, v) in enumerate((t, v) for t in (-5, 0, 4_000_000_000_000_000) for v in values)], "i long, t long, v double")
-    got = [r.o for r in df.select("i", rollup.occurrence(F.timestamp_micros("t"), F.col("v")).alias("o")).orderBy("i").collect()]
+    got = [r.occurrence for r in rollup.with_occurrence(df.withColumn("at", F.timestamp_micros("t")), "at", "v").orderBy("i").collect()]
     assert got == sorted(got) and len(set(got)) == len(got)
 
 

@@ -27,23 +27,26 @@ def windowed(points: DataFrame, seconds: int) -> DataFrame:
     return points.withColumns({"timestamp": ts, "label_hash": label_hash(F.col("labels")), "window_start": start_of(ts, seconds)})
 
 
-def occurrence(at, value):
-    """A number that orders pairs of event time and value, by time first: the time above, the bits of the value below.
+def with_occurrence(rows: DataFrame, at: str, value: str) -> DataFrame:
+    """``rows`` with ``occurrence``, a number that orders pairs of event time and value: the time above, the bits of the value below.
 
-    A struct would do the same, but cannot live in the buffer of a hash aggregation, which would then sort all rows.
+    A struct would do the same, but cannot live in the buffer of a hash aggregation, which would then sort all rows. The steps are
+    columns of their own, so that each is computed once.
     """
-    a = F.abs(value)
-    e = F.greatest(F.floor(F.log2(a)), F.lit(-1022)).cast("double")
-    m = a * F.pow(F.lit(2.0), -e)
+    v, two52 = F.col(value), 1 << 52
+    rows = rows.withColumn("_a", F.abs(v)).withColumn("_e", F.greatest(F.floor(F.log2("_a")), F.lit(-1022)).cast("double"))
+    rows = rows.withColumn("_m", F.col("_a") * F.pow(F.lit(2.0), -F.col("_e")))
     # The logarithm may be off by one next to a power of two.
-    e, m = F.when(m >= 2, e + 1).when((m < 1) & (e > -1022), e - 1).otherwise(e), F.when(m >= 2, m / 2).when((m < 1) & (e > -1022), m * 2).otherwise(m)
-    size = (e + 1022).cast("long") * F.lit(1 << 52) + (m * F.lit(float(1 << 52))).cast("long")
-    bits = F.when(F.isnan(value), F.lit((1 << 63) - 1)).when(a == float("inf"), F.lit(0x7FF << 52) * F.signum(value).cast("long")).when(a == 0, F.lit(0).cast("long")).when(value < 0, -size).otherwise(size)
-    return F.unix_micros(at).cast("decimal(20,0)") * F.lit(Decimal(1 << 64)).cast("decimal(20,0)") + bits.cast("decimal(20,0)")
+    rows = rows.withColumn("_by", F.when(F.col("_m") >= 2, 1.0).when((F.col("_m") < 1) & (F.col("_e") > -1022), -1.0).otherwise(0.0))
+    size = (F.col("_e") + F.col("_by") + 1022).cast("long") * F.lit(two52) + (F.col("_m") * F.pow(F.lit(2.0), 52 - F.col("_by"))).cast("long")
+    rows = rows.withColumn("_size", F.when(F.isnan("_a"), F.lit((1 << 63) - 1)).when(F.col("_a") == float("inf"), F.lit(0x7FF << 52)).when(F.col("_a") == 0, F.lit(0).cast("long")).otherwise(size))
+    bits = F.when(v < 0, -F.col("_size")).otherwise(F.col("_size"))
+    number = F.unix_micros(at).cast("decimal(20,0)") * F.lit(Decimal(1 << 64)).cast("decimal(20,0)") + bits.cast("decimal(20,0)")
+    return rows.withColumn("occurrence", number).drop("_a", "_e", "_m", "_by", "_size")
 
 
-def _latest(at, value) -> list:
-    return [F.max_by(value, occurrence(at, value)).alias("last"), F.max(at).alias("last_event_at")]
+def _latest(at: str, value: str) -> list:
+    return [F.max_by(value, "occurrence").alias("last"), F.max(at).alias("last_event_at"), F.max("occurrence").alias("occurrence")]
 
 
 def build(points: DataFrame, seconds: int = 60, with_labels: bool = True) -> DataFrame:
@@ -52,14 +55,14 @@ def build(points: DataFrame, seconds: int = 60, with_labels: bool = True) -> Dat
     ``last`` is the value at the latest event time (microseconds), the larger value on a tie. Two shuffles at most: rows are first
     grouped with their slot (scalars of a slot are partial results), then by series and window, on a few rows per key.
     """
-    rows = windowed(points, seconds)
+    rows = with_occurrence(windowed(points, seconds), "timestamp", "value")
     slot = F.when(F.col("kind") == "histogram", H.slot(F.col("value")))
     by_slot = rows.groupBy(*KEY, "labels", slot.alias("slot")).agg(
-        F.count(F.lit(1)).alias("count"), F.sum("value").alias("sum"), F.min("value").alias("min"), F.max("value").alias("max"), *_latest(F.col("timestamp"), F.col("value")),
+        F.count(F.lit(1)).alias("count"), F.sum("value").alias("sum"), F.min("value").alias("min"), F.max("value").alias("max"), *_latest("timestamp", "value"),
     )
     sparse = F.map_from_entries(F.collect_list(F.when(F.col("slot").isNotNull(), F.struct("slot", "count"))))
     out = by_slot.groupBy(*KEY, "labels").agg(
-        F.sum("count").alias("count"), F.sum("sum").alias("sum"), F.min("min").alias("min"), F.max("max").alias("max"), *_latest(F.col("last_event_at"), F.col("last")), sparse.alias("sparse"),
+        F.sum("count").alias("count"), F.sum("sum").alias("sum"), F.min("min").alias("min"), F.max("max").alias("max"), *_latest("last_event_at", "last"), sparse.alias("sparse"),
     )
     out = out.withColumns({"window_end": end_of(F.col("window_start"), seconds), "buckets": F.when(F.col("kind") == "histogram", H.dense(F.col("sparse")))})
     return out.select(*[c for c in COLUMNS if with_labels or c != "labels"])
@@ -67,10 +70,10 @@ def build(points: DataFrame, seconds: int = 60, with_labels: bool = True) -> Dat
 
 def scalars(points: DataFrame, seconds: int = 60) -> DataFrame:
     """Rollups without histograms: one shuffle, no vectors."""
-    out = windowed(points, seconds).groupBy(*KEY, "labels").agg(
-        F.count(F.lit(1)).alias("count"), F.sum("value").alias("sum"), F.min("value").alias("min"), F.max("value").alias("max"), *_latest(F.col("timestamp"), F.col("value")),
+    out = with_occurrence(windowed(points, seconds), "timestamp", "value").groupBy(*KEY, "labels").agg(
+        F.count(F.lit(1)).alias("count"), F.sum("value").alias("sum"), F.min("value").alias("min"), F.max("value").alias("max"), *_latest("timestamp", "value"),
     )
-    return out.withColumn("window_end", end_of(F.col("window_start"), seconds))
+    return out.withColumn("window_end", end_of(F.col("window_start"), seconds)).drop("occurrence")
 
 
 def percentile(points: DataFrame, seconds: int, q: float) -> DataFrame:
@@ -87,7 +90,8 @@ def merge(*parts: DataFrame) -> DataFrame:
     """
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     extra = ["revision"] if "revision" in rows.columns else []
-    scalar = ["window_end", *SCALARS, *extra]
+    scalar = ["window_end", *SCALARS, *extra, "occurrence"]
+    rows = with_occurrence(rows, "last_event_at", "last")
     # The scalars ride with the first slot, or with none where there is no vector; other slots carry nothing else.
     vector = F.when(F.size("buckets") == H.SLOTS, F.col("buckets"))
     rows = rows.select(*KEY, "labels", *scalar, F.posexplode_outer(vector).alias("slot", "n")).where("slot IS NULL OR slot = 0 OR n <> 0")
@@ -96,7 +100,7 @@ def merge(*parts: DataFrame) -> DataFrame:
 
     def added(n):
         top = [F.max(c).alias(c) for c in ("window_end", *extra)]
-        return [*top, F.sum("count").alias("count"), F.sum("sum").alias("sum"), F.min("min").alias("min"), F.max("max").alias("max"), *_latest(F.col("last_event_at"), F.col("last")), *n]
+        return [*top, F.sum("count").alias("count"), F.sum("sum").alias("sum"), F.min("min").alias("min"), F.max("max").alias("max"), *_latest("last_event_at", "last"), *n]
 
     by_slot = rows.groupBy(*KEY, "labels", "slot").agg(*added([F.sum("n").alias("n"), F.sum("vectors").alias("vectors")]))
     entry = F.when(F.col("n") != 0, F.struct("slot", "n"))
