@@ -56,8 +56,17 @@ def csv_cell(c: Column) -> Column:
     return F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(c, r"^([=+\-@\t\r])", "'$1"), '"', '""'), F.lit('"'))
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """``c`` times a power of ten, rounded half away from zero, and back: binary rounding, where ``F.round`` rounds the shortest decimal."""
+    scaled = c * float(10**digits)
+    whole = F.when(scaled < 0, -F.round(-scaled)).otherwise(F.round(scaled)) / float(10**digits)
+    return F.when(F.abs(scaled) < float("inf"), whole).otherwise(c)
+
+
 def csv_number(c: Column) -> Column:
-    return F.concat(F.lit('"'), c.cast("string"), F.lit('"'))
+    """A number as quoted text, without an exponent below 1e16; ``c`` is rounded already."""
+    plain = F.regexp_replace(c.cast("decimal(38,9)").cast("string"), r"(\.\d+?)0+$", "$1")
+    return F.concat(F.lit('"'), F.when((F.abs(c) >= 1e7) & (F.abs(c) < 1e16), plain).otherwise(c.cast("string")), F.lit('"'))
 
 
 def csv_lines(points: DataFrame, metric: str | Column, labels_json: Column, truncated: bool = False) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import histogram as H
@@ -76,6 +76,18 @@ def scalars(points: DataFrame, seconds: int = 60) -> DataFrame:
     return out.withColumn("window_end", end_of(F.col("window_start"), seconds)).drop("occurrence")
 
 
+def averages_in_order(points: DataFrame, seconds: int, place: list[str]) -> DataFrame:
+    """(series, labels, window, v): averages whose sums add the values one by one in the order of ``place``.
+
+    For results that show the last bit of a sum, as text rounded at a tie does: sums of doubles depend on the order of their terms,
+    and an aggregation adds in the order of its tasks. The running sum holds a row at a time, however many a window has.
+    """
+    upto = Window.partitionBy(*KEY).orderBy(*place)
+    running = upto.rowsBetween(Window.unboundedPreceding, 0)
+    rows = windowed(points, seconds).withColumns({"_sum": F.sum("value").over(running), "_count": F.count(F.lit(1)).over(running), "_more": F.lead(F.lit(1)).over(upto)})
+    return rows.where(F.col("_more").isNull()).select(*KEY, "labels", (F.col("_sum") / F.col("_count")).alias("v"))
+
+
 def percentile(points: DataFrame, seconds: int, q: float) -> DataFrame:
     """(series, window, count, v): a quantile per histogram rollup, from its occupied slots; no vector is built."""
     slots = sparse_slots(points, seconds).groupBy(*KEY).agg(F.sum("n").alias("count"), F.sort_array(F.collect_list(F.struct("slot", F.col("n").alias("count")))).alias("entries"))

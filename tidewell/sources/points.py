@@ -15,8 +15,11 @@ VERSION = "1"
 MAX_ENVELOPE_BYTES = 10_000_000
 
 
-def events_as_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ``events`` table as points: four tenants, a batch per hundred events, kinds by event type."""
+def events_as_points(spark: SparkSession, sf_dir: str, placed: bool = False) -> DataFrame:
+    """The ``events`` table as points: four tenants, a batch per hundred events, kinds by event type.
+
+    ``placed`` adds (file, row), the place of the event in the table.
+    """
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     kind = F.when(F.col("event_type") == "error", "counter").when(F.col("event_type").isin("purchase", "view"), "histogram").otherwise("gauge")
     labels = F.create_map(
@@ -28,6 +31,7 @@ def events_as_points(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("b-"), F.floor(F.col("event_id") / 100).cast("string")).alias("batch_id"),
         ts.alias("received_at"), (F.col("event_id") % 100).cast("int").alias("idx"), F.concat(F.lit("events."), F.col("event_type")).alias("metric"),
         kind.alias("kind"), F.col("value"), ts.alias("timestamp"), labels.alias("labels"), F.col("event_id"),
+        *([F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")] if placed else []),
     )
 
 
