@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a key that are compared in one task; set members of a group (8 bytes each); rows of a large key that all its blocks hold.
 MOST_ROWS, MOST_MEMBERS, HUBS = 2048, 4_000_000, 48
+#: Bytes of members whose sets are made together.
+AT_ONCE = 256_000
 
 
 def stored(members: bytes) -> np.ndarray:
@@ -103,18 +105,17 @@ def whole_keys(batches: Iterator[pa.RecordBatch], columns: Callable[[pa.RecordBa
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
-def pairs_of(ids: np.ndarray, members: np.ndarray, percent: int, to_set: Callable[[bytes], np.ndarray]) -> list[tuple[int, int]]:
-    rows = list(dict.fromkeys(zip(ids.tolist(), members.tolist(), strict=True)))
-    sets = [to_set(m) for _, m in rows]
+def pairs_of(rows: list[tuple[int, bytes]], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     links = forest(sets, percent) if len(rows) > 1 else []
     return [(min(a, b), max(a, b)) for i, j in links if (a := rows[i][0]) != (b := rows[j][0])]
 
 
-def linked(groups: DataFrame, sets: DataFrame, percent: int, to_set: Callable[[bytes], np.ndarray] = stored) -> DataFrame:
+def linked(groups: DataFrame, sets: DataFrame, percent: int, to_set: Callable[[bytes], np.ndarray] = stored, to_sets: Callable[[list[bytes]], list[np.ndarray]] | None = None) -> DataFrame:
     """Links (a, b) between ids of a group (gid, id) whose sets have ``100 * intersection >= percent * union``.
 
     ``sets`` has (id, members); ``to_set`` makes sorted distinct values of members, which are what travels: the values
-    themselves, or a text where that is shorter than its set. Ids may have several sets; any may match.
+    themselves, or a text where that is shorter than its set; ``to_sets`` does so for those of several groups at a time. Ids may
+    have several sets; any may match.
     """
     dealt = groups.join(sets, "id").select("gid", "id", "members").repartition("gid").sortWithinPartitions("gid")
 
@@ -123,10 +124,29 @@ def linked(groups: DataFrame, sets: DataFrame, percent: int, to_set: Callable[[b
         members[:] = batch.column(2).to_pylist()
         return [batch.column(0).to_numpy(), batch.column(1).to_numpy(), members]
 
+    def with_sets(own: Iterator[list[tuple[int, bytes]]]) -> Iterator[tuple[list[tuple[int, bytes]], list[np.ndarray]]]:
+        """Each group's rows and their sets, made for groups of about ``AT_ONCE`` bytes together."""
+        held, size = [], 0
+
+        def made():
+            texts = list(dict.fromkeys(m for rows in held for _, m in rows))
+            sets = dict(zip(texts, to_sets(texts) if to_sets else map(to_set, texts), strict=True))
+            return [(rows, [sets[m] for _, m in rows]) for rows in held]
+
+        for rows in own:
+            held.append(rows)
+            size += sum(len(m) for _, m in rows)
+            if size > AT_ONCE:
+                yield from made()
+                held, size = [], 0
+        if held:
+            yield from made()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for gid, ids, members in whole_keys(batches, columns):
             at = runs(gid)
-            found = dict.fromkeys(p for i, j in zip(at[:-1], at[1:], strict=True) for p in pairs_of(ids[i:j], members[i:j], percent, to_set))
+            own = (list(dict.fromkeys(zip(ids[i:j].tolist(), members[i:j].tolist(), strict=True))) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+            found = dict.fromkeys(p for rows, sets in with_sets(own) for p in pairs_of(rows, sets, percent))
             if found:
                 yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
 
