@@ -203,6 +203,38 @@ def test_crowded_bands_are_found(spark):
     assert sorted((r.key, r.c) for r in fuzzy_lines.crowded(rows, 19).collect()) == [(0, 20), (1, 20), (2, 20)]
 
 
+@pytest.mark.parametrize("few", [["a"], [" lead", "abcde"], ["É ", "日本語テキスト"]])
+def test_many_lines_are_hashed_as_one_by_one(few):
+    odd = ["a", "ab", " a b ", "x\t\ty  z ", "trail ", "a\x1cb  c\xa0 d", "  ", "\r", "abcd", "AbCdE\x0bf", "\U0001f600 ok", "\x00 null  ", "again and again " * 9000]
+    for lines in (few, [*few, *odd], [*odd * 3, *few]):
+        sets = fuzzy_lines.line_sets([x.encode() for x in lines])
+        assert len(sets) == len(lines) and all(np.array_equal(x, fuzzy_lines.line_set(t.encode())) for x, t in zip(sets, lines, strict=True))
+
+
+def test_bands_travel_packed(spark, monkeypatch):
+    """A few packed rows hold every key of every line, with the keys left out that are dealt in blocks."""
+    monkeypatch.setattr(fuzzy_lines, "_PACKED", 300)
+    data = [([i % 50, 1000 + i, 7], i, 10 + i % 3) for i in range(200)]
+    rows = spark.createDataFrame(data, "keys array<long>, id long, n int").coalesce(2)
+    got = fuzzy_lines.packed(rows, 500_000, np.array([7])).collect()
+    assert len(got) <= 6 * 4
+    held = [r for x in got for r in np.frombuffer(bytes(x.rows), fuzzy_lines._ROW).tolist()]
+    assert sorted(held) == sorted((k, i, n) for keys, i, n in data for k in keys if k != 7)
+    groups_of = fuzzy_lines.band_groups(fuzzy_lines.packed(rows, 600)).groupBy("gid").count().collect()
+    assert sorted(r["count"] for r in groups_of) == [4] * 49 + [200]
+
+
+def test_crowded_bands_are_left_to_blocks(spark, monkeypatch):
+    """Keys of crowded bands that are sent to the packing tasks: nothing is lost, with few documents."""
+    monkeypatch.setattr(fuzzy_lines.line_components, "__defaults__", (80, 4))
+    monkeypatch.setattr(groups, "HUBS", 1)
+    words = "one line of the corpus that has nearly the same words in every copy of it there is"
+    rows = [(i, f"{words} {i}\nalone {i} {'xyz' * i} {i * i}\n{words.upper()}") for i in range(12)]
+    want = brute_lines(rows)
+    got = fuzzy_lines.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, version(rows[r.doc_id][1]), n) for r in got for n in r.kept_lines} == want and len(want) < 20
+
+
 def test_nodes_compare_pairs_whose_tokens_agree_little(spark):
     """At the threshold, fewer pairs are lost to the token filter than to all trees."""
     lost = sum(math.comb(64, i) * 0.8**i * 0.2 ** (64 - i) for i in range(chosen_path.agree(80)))
